@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, exact, mixing
+from . import chat, exact, lines, mixing, packing
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_line_dedup": lines.op4_line_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact.op6_exact_dedup,
+    "op9_pack_tokens": packing.op9_pack_tokens,
 }
 
 SQL = {
     "op1_mix_sources": mixing.SQL,
+    "op4_line_dedup": lines.SQL,
     "op5_chat_format": chat.SQL,
     "op6_exact_dedup": exact.SQL,
 }
