@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, exact, lines, mixing, packing
+from . import chat, decontam, exact, licenses, lines, mixing, packing
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_license_scan": licenses.op2_license_scan,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op9_pack_tokens": packing.op9_pack_tokens,
+    "op10_benchmark_leaks": decontam.op10_benchmark_leaks,
 }
 
 SQL = {
     "op1_mix_sources": mixing.SQL,
+    "op2_license_scan": licenses.sql(),
     "op4_line_dedup": lines.SQL,
     "op5_chat_format": chat.SQL,
     "op6_exact_dedup": exact.SQL,
