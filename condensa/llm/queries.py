@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact, licenses, lines, mixing, packing
+from . import chat, decontam, exact, licenses, lines, minhash, mixing, packing
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact.op6_exact_dedup,
+    "op7_minhash_dedup": minhash.op7_minhash_dedup,
     "op9_pack_tokens": packing.op9_pack_tokens,
     "op10_benchmark_leaks": decontam.op10_benchmark_leaks,
 }
