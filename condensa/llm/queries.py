@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact, licenses, lines, minhash, mixing, packing
+from . import chat, decontam, exact, licenses, lines, minhash, mixing, packing, quality
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_minhash_dedup": minhash.op7_minhash_dedup,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_pack_tokens": packing.op9_pack_tokens,
     "op10_benchmark_leaks": decontam.op10_benchmark_leaks,
 }
