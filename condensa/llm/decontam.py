@@ -69,6 +69,12 @@ def q_grams(codes: np.ndarray) -> np.ndarray:
     return h
 
 
+def fours(codes: np.ndarray) -> np.ndarray:
+    """The 4-grams, hashed; a clash only lets a region through."""
+    c = codes.astype(np.int64)
+    return ((c[:-3] * 8191 + c[1:-2]) * 8191 + c[2:-1]) * 8191 + c[3:] if len(c) > 3 else c[:0]
+
+
 def cells(h: np.ndarray) -> np.ndarray:
     return ((h * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -77,6 +83,12 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) ->
     """The cheapest alignment of the whole item with a part of the text on diagonals low .. high: (edits, start, end), or
     None beyond k edits. Cell (i, d) ends after i item characters on diagonal d."""
     m, n, width = len(item), len(text), high - low + 1
+    region, first = text[max(0, low) : max(0, high + m)], max(0, low)
+    at = region.tobytes().find(item.tobytes())
+    while at >= 0 and at % item.itemsize:
+        at = region.tobytes().find(item.tobytes(), at + 1)
+    if at >= 0:
+        return 0, first + at // item.itemsize, first + at // item.itemsize + m
     big = k + 1
     diagonals = np.arange(low, high + 1)
     cost = np.where((diagonals >= 0) & (diagonals <= n), 0, big)
@@ -148,6 +160,12 @@ class Index:
                     best[n] = edits, at + a, at + b
         return [(item, edits, int(places[a]), int(places[b - 1]) + 1 if b > a else int(places[a])) for n, (edits, a, b) in sorted(best.items()) for item in self.items[n][1]]
 
+    def _likely(self, item: int, region: np.ndarray, k: int) -> bool:
+        """The lemma for q = 4, without places."""
+        codes = self.items[item][0]
+        need = len(codes) - 3 - 4 * k
+        return need <= 0 or int(np.isin(fours(codes), fours(region)).sum()) >= need
+
     def _stretch(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         h = q_grams(codes)
         hits = np.flatnonzero(self.seen[cells(h)])
@@ -174,6 +192,8 @@ class Index:
                 item, b = divmod(b, int(span))
                 k = int(self.budget[item])
                 low = b * (k + 1) - self.longest
+                if not self._likely(item, codes[max(0, low - k) : low + 2 * (k + 1) + k + len(self.items[item][0])], k):
+                    continue
                 if (match := aligned(self.items[item][0], codes, low - k, low + 2 * (k + 1) - 1 + k, k)) is not None:
                     yield item, *match
 
