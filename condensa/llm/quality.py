@@ -8,8 +8,8 @@ lines); ids, language and source are never looked at. A linear scorer f minimise
 
 with the logistic loss; while the inner difference is negative, the step goes up it instead. The class prior is estimated
 from a first scorer that tells positives from unlabelled rows: the least ratio, over thresholds, of the share of unlabelled
-rows above to the share of positives above. Last, the intercept is moved so that all but PASS of the trusted positives
-score above THRESHOLD by a small margin; the risk fixes the order of documents, not the place of one threshold.
+rows above to the share of positives above. Last, the intercept puts THRESHOLD between the lowest trusted positives and
+the unlabelled rows that the prior leaves for the other class; the risk fixes the order of documents, not this place.
 
 Only the fit uses a sample: at most about max_positive and max_unlabelled rows, drawn by a hash of doc_id, whose numeric
 statistics (not texts) go to the driver. Every document is scored on its whole text, in one pass without a shuffle.
@@ -35,7 +35,7 @@ from .common import hex32, remainder5, small_batches, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 40_000
 THRESHOLD = 0.3
-PASS, MARGIN = 0.001, 0.25
+PASS, MARGIN = 0.001, (0.25, 1.0)
 CLIP = 6.0
 SYMBOLS = b"#$%&*+/<=>@[\\]^_`{|}~"
 
@@ -122,7 +122,8 @@ class Scorer:
             return (up + down if negative >= 0 else -down) + decay * w
 
         self.weights = _descend(risk, N_FEATURES + 1, steps)
-        self.weights[-1] += math.log(THRESHOLD / (1 - THRESHOLD)) + MARGIN - np.quantile(p @ self.weights, PASS)
+        good, other = np.quantile(p @ self.weights, PASS), np.quantile(u @ self.weights, 0.5 * (1 - self.prior))
+        self.weights[-1] += math.log(THRESHOLD / (1 - THRESHOLD)) + np.clip(0.3 * (good - other), *MARGIN) - good
 
     def scaled(self, rows: np.ndarray) -> np.ndarray:
         return np.append(np.clip((rows - self.center) / self.scale, -CLIP, CLIP), np.ones((len(rows), 1)), axis=1)
