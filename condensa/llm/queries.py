@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact, licenses, lines, minhash, mixing, packing, quality
+from . import chat, decontam, exact, licenses, lines, lm, minhash, mixing, packing, quality
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_lm_score": lm.op3_lm_score,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact.op6_exact_dedup,
