@@ -1,0 +1,181 @@
+"""Queries over the reduction operators, with DuckDB twins where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import derived as D
+from .functions import text as T
+from .functions.patterns import re2, sql
+from .operators import gate as G
+from .operators import jsontable as J
+from .operators import logs as L
+from .operators.detect import detect, modal_columns
+from .operators.reduce import reduce_texts, with_inputs
+from .operators.terminal import clean, compress_table
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql_text: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql_text:
+            SQL[f.__name__] = sql_text
+        return f
+
+    return add
+
+
+def digest(c) -> F.Column:
+    return F.sha2(c, 256)
+
+
+@query(f"SELECT doc_id, {T.tokens_sql('text')} AS tokens FROM documents")
+def token_estimate(spark, sf_dir) -> DataFrame:
+    return D.table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query()
+def prose_gate(spark, sf_dir) -> DataFrame:
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    pages = D.table(spark, sf_dir, "pages").select((F.col("page_id") + 10**9).alias("doc_id"), F.col("html").alias("content"))
+    return G.gate(with_inputs(docs.unionByName(pages))).select("doc_id", "in_tokens", "gate_action", "gate_klass", "gate_signal", "gate_reason")
+
+
+@query("""SELECT * FROM (SELECT 'json' AS made, 'json' AS detected, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'log', 'log', count(DISTINCT user_id) FROM events
+  UNION ALL SELECT 'terminal', 'terminal', count(*) FROM nation UNION ALL SELECT 'search', 'search', count(DISTINCT p_brand) FROM part
+  UNION ALL SELECT 'html', 'html', count(*) FROM pages)""")
+def detect_types(spark, sf_dir) -> DataFrame:
+    parts = [m(spark, sf_dir).withColumn("made", F.lit(k)) for k, m in D.MAKERS.items() if k != "tabular"]
+    parts.append(D.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"), F.lit("html").alias("made")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return detect(out).groupBy("made", "detected").agg(F.count(F.lit(1)).alias("n"))
+
+
+LINES = f"""WITH d AS ({D.SQL['logs']}), l AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS pos FROM d),
+c AS (SELECT *, CASE WHEN regexp_matches(line, {sql('re_error')}) THEN 6 WHEN regexp_matches(line, {sql('re_fail')}) THEN 5 WHEN regexp_matches(line, {sql('re_warn')}) THEN 4 WHEN regexp_matches(line, {sql('re_info')}) THEN 3
+   WHEN regexp_matches(line, {sql('re_debug')}) THEN 2 WHEN regexp_matches(line, {sql('re_trace')}) THEN 1 ELSE 0 END AS lvl, regexp_matches(line, {sql('re_stack')}) AS raw, regexp_matches(line, {sql('re_summary')}) AS summary,
+   trim(line) <> '' AND NOT regexp_matches(line, {sql('re_error')}) AND NOT regexp_matches(line, {sql('re_warn')}) AND NOT regexp_matches(line, {sql('re_info')}) AND NOT regexp_matches(line, {sql('re_debug')})
+   AND (regexp_matches(line, {sql('frame_call')}) OR regexp_matches(line, {sql('frame_file')})) AS more FROM l)"""
+
+SELECTED = LINES + r""",
+s AS (SELECT *, least(1.0, CASE WHEN lvl >= 5 THEN 1.0 WHEN lvl = 4 THEN 0.5 WHEN lvl = 2 THEN 0.05 WHEN lvl = 1 THEN 0.02 ELSE 0.1 END::DOUBLE + CASE WHEN raw THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN summary THEN 0.4 ELSE 0 END::DOUBLE) AS score,
+  raw OR coalesce(max(CASE WHEN raw THEN pos END) OVER u, -1) > coalesce(max(CASE WHEN NOT raw AND NOT more THEN pos END) OVER u, -1) AS stack,
+  CASE WHEN regexp_matches(line, '[:=]') THEN regexp_extract(line, '^([^:=]*[:=])', 1) || regexp_replace(regexp_replace(regexp_replace(regexp_extract(line, '^[^:=]*[:=](.*)$', 1), '0x[0-9a-fA-F]+', 'ADDR', 'g'), '/[\w./\-]+', '/PATH/', 'g'), '[0-9]+', 'N', 'g') ELSE line END AS norm
+  FROM c WINDOW u AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT *, lvl >= 5 AND (row_number() OVER k <= 19 OR row_number() OVER k = 1 OR row_number() OVER b = 1) AS top,
+  lvl = 4 AND row_number() OVER (PARTITION BY doc_id, lvl, norm ORDER BY pos) = 1 AS fresh, stack AND NOT coalesce(lag(stack) OVER p, false) AS starts
+  FROM s WINDOW k AS (PARTITION BY doc_id, lvl ORDER BY pos), b AS (PARTITION BY doc_id, lvl ORDER BY pos DESC), p AS (PARTITION BY doc_id ORDER BY pos)),
+v AS (SELECT *, sum(fresh::INT) OVER u AS nw, sum(starts::INT) OVER u AS blk, max(CASE WHEN starts THEN pos END) OVER u AS frm FROM t WINDOW u AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+o AS (SELECT *, top OR (fresh AND nw <= 20) OR (stack AND blk <= 5 AND pos - frm < 30) OR summary AS own FROM v),
+n AS (SELECT *, own OR coalesce(lag(own) OVER p, false) OR coalesce(lead(own) OVER p, false) AS near FROM o WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+q AS (SELECT *, near AND row_number() OVER (PARTITION BY doc_id, near ORDER BY score DESC, pos) <= 200 AS cap FROM n),
+z AS (SELECT doc_id, pos, line, cap OR (NOT bool_or(cap) OVER w AND (pos < 5 OR pos >= max(pos) OVER w - 4)) AS kept FROM q WINDOW w AS (PARTITION BY doc_id))"""
+
+
+@query(LINES + " SELECT lvl::INTEGER AS lvl, summary, count(*) AS n, sum(raw::INT)::BIGINT AS stacks, count(DISTINCT doc_id) AS docs FROM c GROUP BY ALL")
+def log_levels(spark, sf_dir) -> DataFrame:
+    rows = L.log_lines(D.logs(spark, sf_dir), "doc_id", "content")
+    return rows.groupBy("lvl", "summary").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("raw_stack").cast("long")).alias("stacks"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query(SELECTED + " SELECT doc_id, pos::INTEGER AS pos, sha256(line) AS line_sha256 FROM z WHERE kept")
+def log_selected_lines(spark, sf_dir) -> DataFrame:
+    rows = L.select_lines(L.log_lines(D.logs(spark, sf_dir), "doc_id", "content"), "doc_id")
+    return rows.filter("kept").select("doc_id", "pos", digest(F.col("line")).alias("line_sha256"))
+
+
+@query(SELECTED + """, g AS (SELECT *, count(*) FILTER (WHERE kept) OVER (PARTITION BY doc_id ORDER BY pos) AS isl FROM z),
+ h AS (SELECT doc_id, kept, isl, min(pos) AS pos, CASE WHEN kept THEN any_value(line) ELSE '... [' || count(*) || ' lines omitted]' END AS said, count(*) AS k FROM g GROUP BY doc_id, kept, isl)
+ SELECT doc_id, sum(k)::BIGINT AS n_lines, sum(CASE WHEN kept THEN k ELSE 0 END)::BIGINT AS n_kept, sum(CASE WHEN kept THEN 0 ELSE k END)::BIGINT AS n_omitted, sha256(string_agg(said, chr(10) ORDER BY pos)) AS output_sha256 FROM h GROUP BY doc_id""")
+def log_omissions(spark, sf_dir) -> DataFrame:
+    out = L.emit(L.select_lines(L.log_lines(D.logs(spark, sf_dir), "doc_id", "content"), "doc_id"), "doc_id")
+    return out.select("doc_id", "n_lines", "n_kept", "n_omitted", digest(F.col("output")).alias("output_sha256"))
+
+
+EAV = """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS row_idx, * FROM lineitem),
+e AS (SELECT doc_id, row_idx, 'part' AS key, l_partkey::VARCHAR AS raw, 'int' AS kind FROM r UNION ALL SELECT doc_id, row_idx, 'qty', l_quantity::BIGINT || '.50', 'float' FROM r
+  UNION ALL SELECT doc_id, row_idx, 'note', '"n' || l_linenumber || '"', 'string' FROM r WHERE l_linenumber % 2 = 0 UNION ALL SELECT doc_id, row_idx, 'flag', '"' || l_returnflag || '"', 'string' FROM r
+  UNION ALL SELECT doc_id, row_idx, 'meta', '{"supp":' || l_suppkey || ',"status":"' || l_linestatus || '"}', 'json' FROM r UNION ALL SELECT doc_id, row_idx, 'kind', '"line"', 'string' FROM r),
+n AS (SELECT doc_id, max(row_idx) + 1 AS n_rows FROM e GROUP BY doc_id)"""
+
+
+@query(EAV + " SELECT doc_id, key, count(*) AS freq, (row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, key) - 1)::INTEGER AS ord FROM e GROUP BY doc_id, key")
+def json_schema(spark, sf_dir) -> DataFrame:
+    return J.schema_of(J.cells(D.json_rows(spark, sf_dir)))
+
+
+@query(EAV + " SELECT doc_id, key, min(raw) AS raw FROM e JOIN n USING (doc_id) GROUP BY doc_id, key, n_rows HAVING count(*) = n_rows AND n_rows >= 2 AND min(raw) = max(raw)")
+def json_constants(spark, sf_dir) -> DataFrame:
+    cells = J.cells(D.json_rows(spark, sf_dir))
+    return J.constants_of(cells, cells.groupBy("doc_id").agg((F.max("row_idx") + 1).alias("n_rows")))
+
+
+@query(EAV + " SELECT doc_id, key, CASE WHEN min(kind) = max(kind) AND min(kind) <> 'json' THEN min(kind) ELSE 'json' END AS type FROM e GROUP BY doc_id, key")
+def json_types(spark, sf_dir) -> DataFrame:
+    return J.types_of(J.cells(D.json_rows(spark, sf_dir)))
+
+
+@query(EAV + " SELECT doc_id, any_value(n_rows) AS n_rows, count(*) AS n_cells, true AS smaller FROM e JOIN n USING (doc_id) GROUP BY doc_id")
+def json_roundtrip(spark, sf_dir) -> DataFrame:
+    docs = D.json_rows(spark, sf_dir).withColumn("enc", J.encode_udf("content"))
+    docs = docs.withColumns({"dec": J.decode_udf("enc"), "min": J.minify_udf("content")})
+    back = F.coalesce("dec", F.from_json("min", "array<map<string,string>>"))
+    cells = F.aggregate(back, F.lit(0).cast("long"), lambda a, r: a + F.size(r))
+    return docs.select("doc_id", F.size(back).cast("long").alias("n_rows"), cells.alias("n_cells"), (F.octet_length("enc") < F.octet_length("content")).alias("smaller"))
+
+
+@query(f"""WITH d AS ({D.SQL['terminals']}) SELECT doc_id, sha256(regexp_replace(content, '{re2("ansi")}', '', 'g')) AS plain_sha256,
+  sha256(regexp_replace(regexp_replace('Downloading ' || n_name || ' 100% ▇' || regexp_extract(content, '\\n[\\s\\S]*$'), '{re2("ansi")}', '', 'g'), '{re2("blank_run")}', chr(10) || chr(10), 'g')) AS shown_sha256 FROM d JOIN nation ON n_nationkey = doc_id""")
+def terminal_clean(spark, sf_dir) -> DataFrame:
+    docs = D.terminals(spark, sf_dir)
+    return clean(docs, F.lit(True)).select("doc_id", digest(T.strip_ansi(F.col("content"))).alias("plain_sha256"), digest(F.col("output")).alias("shown_sha256"))
+
+
+@query(f"""WITH d AS ({D.SQL['tables']}), l AS (SELECT doc_id, unnest(string_split(content, chr(10))[1:100]) AS line FROM d), f AS (SELECT doc_id, len(string_split_regex(trim(line), ' {{2,}}')) AS n FROM l),
+ g AS (SELECT doc_id, n, count(*) AS c FROM f GROUP BY doc_id, n) SELECT doc_id, (max((c, n))).c::INTEGER AS freq, (max((c, n))).n::INTEGER AS columns FROM (SELECT doc_id, {{'c': c, 'n': n}} AS s, c, n FROM g) GROUP BY doc_id""".replace("(max((c, n))).c", "max(s).c").replace("(max((c, n))).n", "max(s).n"))
+def table_columns(spark, sf_dir) -> DataFrame:
+    mode = modal_columns(T.non_blank(F.slice(T.split_lines(F.col("content")), 1, 500), 100))
+    return D.tables(spark, sf_dir).select("doc_id", mode.freq.alias("freq"), mode.columns.alias("columns"))
+
+
+@query(f"""WITH d AS ({D.SQL['tables']}), l AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos, len(string_split(content, chr(10))) AS n FROM d),
+ m AS (SELECT doc_id, pos, n, CASE WHEN n > 40 AND pos = 26 THEN '... [' || (n - 40) || ' rows omitted]' ELSE regexp_replace(trim(line), ' {{2,}}', chr(9), 'g') END AS said FROM l WHERE n <= 40 OR pos <= 26 OR pos > n - 15)
+ SELECT doc_id, sha256(string_agg(said, chr(10) ORDER BY pos)) AS output_sha256 FROM m GROUP BY doc_id""")
+def table_rows(spark, sf_dir) -> DataFrame:
+    return D.tables(spark, sf_dir).select("doc_id", digest(compress_table(F.col("content"))).alias("output_sha256"))
+
+
+@query("SELECT doc_id, sha256(text) AS plain_sha256 FROM documents")
+def line_numbers(spark, sf_dir) -> DataFrame:
+    return D.numbered(spark, sf_dir).select("doc_id", digest(T.strip_line_numbers(F.col("content"))).alias("plain_sha256"))
+
+
+def mixed(spark, sf_dir) -> DataFrame:
+    """All made texts and the documents, under ids of their own."""
+    parts = [m(spark, sf_dir).withColumn("made", F.lit(k)) for k, m in D.MAKERS.items()]
+    parts.append(D.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.lit("document").alias("made")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("doc_id", F.concat_ws(":", "made", "doc_id"))
+
+
+@query()
+def reduce_summary(spark, sf_dir) -> DataFrame:
+    """What the whole pipeline does, by origin and verdict."""
+    out = reduce_texts(mixed(spark, sf_dir)).withColumn("made", F.split("doc_id", ":")[0])
+    return out.groupBy("made", "detected", "action", "skip_reason", "strategy").agg(F.count(F.lit(1)).alias("items"), F.sum("in_tokens").alias("in_tokens"), F.sum("out_tokens").alias("out_tokens"), F.round(F.avg("reduction"), 6).alias("mean_reduction"))
+
+
+@query("""SELECT made, n AS items, 0::BIGINT AS larger FROM (SELECT 'json' AS made, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'log', count(DISTINCT user_id) FROM events UNION ALL SELECT 'terminal', count(*) FROM nation
+  UNION ALL SELECT 'tabular', count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'search', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'document', count(*) FROM documents)""")
+def reduce_never_larger(spark, sf_dir) -> DataFrame:
+    """Every text comes back once, and none is larger in bytes or tokens."""
+    out = reduce_texts(mixed(spark, sf_dir)).withColumn("made", F.split("doc_id", ":")[0])
+    worse = (F.col("out_chars") > F.col("in_chars")) | (F.col("out_tokens") > F.col("in_tokens")) | ((F.col("action") == "compressed") & ((F.col("out_chars") == F.col("in_chars")) | (F.col("out_tokens") == F.col("in_tokens"))))
+    return out.groupBy("made").agg(F.count(F.lit(1)).alias("items"), F.sum(worse.cast("long")).alias("larger"))
