@@ -1,10 +1,12 @@
 """License scan: word-bigram Dice coefficient against license templates, with size bounds.
 
-Texts are normalised (A-Z lower-cased, every run of other characters than letters and digits of ASCII is one space) and
+Texts are normalised (lower case; every run of other characters than letters and digits of ASCII is one space) and
 compared by line, by block (lines between blank lines, where a block has several lines) and as a whole (where it has
 several blocks). For a unit with a bigrams and a template with b, Dice is 2 * shared / (a + b), bigrams counted with
 repeats. Dice of at least t needs t/(2-t) * b <= a <= (2-t)/t * b, so units outside the bounds of all templates are
-dropped before their bigrams are made, and the bounds of each template are part of the join. The templates' bigrams are
+dropped before their bigrams are made, and the bounds of each template are part of the join. Such a unit also shares
+t/(2-t) * b bigrams at least, so it has one of a few anchor words (see anchors()); texts and units without any are dropped
+by plain substring tests, before anything is normalised or split. The templates' bigrams are
 a fixed table of a few thousand rows and are broadcast; bigrams that no template has end in that join.
 
 DataFrame functions only; no Python runs on the executors.
@@ -16,13 +18,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import table
 
 PERCENT = 80
+#: Words that make poor anchors.
+COMMON = {"a", "an", "and", "any", "are", "be", "by", "for", "in", "is", "it", "not", "of", "or", "other", "that", "the", "this", "to", "with", "without"}
 
 # License names and the usual wordings of notices and license texts.
 NAMES = {
@@ -80,22 +85,50 @@ def bounds(b: int, percent: int) -> tuple[int, int]:
     return -(-percent * b // (200 - percent)), (200 - percent) * b // percent
 
 
+def anchors(found: list[tuple[str, Counter]], percent: int) -> list[str]:
+    """Words of which any unit that reaches the coefficient holds at least one: for each template, the bigrams without
+    an anchor are fewer than the shared bigrams needed. Chosen greedily, the word that serves most templates first."""
+    chosen: list[str] = []
+    bare = lambda b: Counter({g: c for g, c in b.items() if not any(w in chosen for w in g.split())})
+    while True:
+        left = [(rest, sum(rest.values()) + 1 - bounds(sum(b.values()), percent)[0]) for _, b in found if sum((rest := bare(b)).values()) >= bounds(sum(b.values()), percent)[0]]
+        if not left:
+            break
+        gain: Counter = Counter()
+        for rest, over in left:
+            mine = Counter()
+            for g, c in rest.items():
+                for w in set(g.split()):
+                    mine[w] += c
+            gain.update({w: min(c, over) for w, c in mine.items()})
+        chosen.append(max(gain, key=lambda w: (w not in COMMON, min(len(w), 5), gain[w], w)))  # short words are in most texts
+    return chosen
+
+
 def template_table(spark: SparkSession, found: list[tuple[str, Counter]], percent: int) -> DataFrame:
     rows = [(n, k, sum(b.values()), *bounds(sum(b.values()), percent), g, c) for n, (k, b) in enumerate(found) for g, c in b.items()]
     return spark.createDataFrame(rows, "template int, license string, size int, low int, high int, bigram string, times int")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once per row; a plain reference would be computed at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def units(text: Column) -> Column:
-    """Lines, blocks of several lines, and the whole of several blocks: array of (unit, place, words)."""
-    plain = F.regexp_replace(ascii_lower(text), "[^a-z0-9\n]+", " ")
-    blocks = F.split(plain, "\n *\n[ \n]*", -1)
+    """Lines, blocks of several lines, and the whole of several blocks: array of (unit, place, said)."""
+    kind_of = "array<struct<unit:string,place:int,said:string>>"
 
     def made(kind: str, parts: Column, several: bool) -> Column:
-        rows = F.transform(parts, lambda s, i: F.struct(F.lit(kind).alias("unit"), i.cast("int").alias("place"), F.trim(F.translate(s, "\n", " ")).alias("said"), s.contains("\n").alias("more")))
-        return F.filter(rows, lambda r: r.more) if several else rows
+        rows = F.transform(parts, lambda s, i: F.struct(F.lit(kind).alias("unit"), i.cast("int").alias("place"), s.alias("said")))
+        return F.filter(rows, lambda r: r.said.contains("\n")) if several else rows
+
+    def cut(plain: Column) -> Column:
+        blocks = F.split(plain, "\n *\n[ \n]*", -1)
+        more = once(blocks, lambda b: F.concat(made("block", b, True), F.when(F.size(b) > 1, made("text", F.array(plain), False)).otherwise(F.array().cast(kind_of))))
+        return F.concat(made("line", F.split(plain, "\n", -1), False), more)
 
-    whole = F.when(F.size(blocks) > 1, made("text", F.array(plain), False)).otherwise(F.array().cast("array<struct<unit:string,place:int,said:string,more:boolean>>"))
-    return F.concat(made("line", F.split(plain, "\n", -1), False), made("block", blocks, True), whole)
+    return once(F.regexp_replace(F.lower(text), "[^a-z0-9\n]+", " "), cut)
 
 
 def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -105,7 +138,12 @@ def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = template_table(spark, found, percent)
     sizes = sorted({sum(b.values()) for _, b in found})
     least, most = bounds(sizes[0], percent)[0], bounds(sizes[-1], percent)[1]
-    said = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(units(F.col("text"))).alias("u")).select("doc_id", "row", "u.unit", "u.place", F.filter(F.split("u.said", " +"), lambda w: w != "").alias("words"))
+    words = sorted(anchors(found, percent), key=len, reverse=True)
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+    docs = docs.filter(once(F.lower("text"), lambda t: any_of([t.contains(w) for w in words])))
+    said = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(units(F.col("text"))).alias("u"))
+    said = said.filter(once(F.concat(F.lit(" "), F.translate("u.said", "\n", " "), F.lit(" ")), lambda t: any_of([t.contains(f" {w} ") for w in words])))
+    said = said.select("doc_id", "row", "u.unit", "u.place", F.explode(F.array(F.filter(F.split("u.said", "[ \n]+"), lambda w: w != ""))).alias("words"))
     said = said.withColumn("n_bigrams", F.size("words") - 1).filter(F.col("n_bigrams").between(least, most))
     pairs = F.transform(F.sequence(F.lit(1), F.col("n_bigrams")), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
     grams = said.select("doc_id", "row", "unit", "place", "n_bigrams", F.explode(pairs).alias("bigram"))
@@ -130,7 +168,7 @@ def sql(percent: int = PERCENT) -> str:
     values = ", ".join(f"({n}, {quoted(k)}, {sum(b.values())}, {bounds(sum(b.values()), percent)[0]}, {bounds(sum(b.values()), percent)[1]}, {quoted(g)}, {c})" for n, (k, b) in enumerate(found) for g, c in b.items())
     return rf"""
 WITH t(template, license, size, low, high, bigram, times) AS (VALUES {values}),
-p AS (SELECT doc_id, regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\n]+', ' ', 'g') AS plain FROM documents),
+p AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g') AS plain FROM documents),
 b AS (SELECT doc_id, plain, string_split_regex(plain, '\n *\n[ \n]*') AS blocks FROM p),
 u AS (
   SELECT doc_id, 'line' AS unit, unnest(range(len(string_split(plain, chr(10))))) AS place, unnest(string_split(plain, chr(10))) AS said FROM b
