@@ -28,16 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import materialize, remainder5, small_batches, table
 
-HEAD, WIDTH, TAILS = 1024, 32, 32
+HEAD, WIDTH, TAILS = 512, 32, 16
 TOPS = HEAD // WIDTH
 CLASSES = TOPS + TAILS
 SYMBOLS = HEAD + TAILS + 1  # history symbols: head tokens, tail classes, and before-the-text
 BEFORE = SYMBOLS - 1
 PAIRS, NEAR, FAR = 1 << 13, 1 << 13, 1 << 12
 #: Words of the dictionary that goes to the workers; partial counts and word caches a worker holds.
-KEPT, HELD = 65_536, 300_000
+KEPT, HELD = 65_536, 100_000
 LEARNERS_PER_CORE, ROUNDS = 4, (0.2, 0.8)
-BATCH, RATE = 4096, 0.15
+BATCH, RATE = 4096, 0.3
 END = b""
 LOG10 = 1 / math.log(10)
 
