@@ -387,3 +387,50 @@ def tool_text_extract(spark, sf_dir) -> DataFrame:
     text, k = F.col("text"), F.col("doc_id") % 4
     shaped = F.when(k == 0, wrap(stdout=text)).when(k == 1, wrap(stdout=F.lit(""), result=text)).when(k == 2, wrap(file=F.struct(text.alias("content")))).otherwise(wrap(stdout=F.lit(5), output=text))
     return d.select("doc_id", digest(IO.tool_text(shaped, F.lit(None).cast("string"))).alias("text_sha256")).filter("text_sha256 IS NOT NULL")
+
+
+@query("""WITH m AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'claude-opus-4-1-20250805' WHEN 1 THEN 'claude-sonnet-4-latest' ELSE 'claude-haiku-3' END AS id FROM conversations)
+ SELECT family, max(id) AS model FROM (SELECT id, CASE WHEN contains(id, 'haiku') THEN 'haiku' WHEN contains(id, 'sonnet') THEN 'sonnet' ELSE 'opus' END AS family FROM m) GROUP BY family""")
+def family_models(spark, sf_dir) -> DataFrame:
+    return S.newest_models(D.requests(spark, sf_dir))
+
+
+@query("""WITH p(model, i, o) AS (VALUES ('a', 15.0::DOUBLE, 75.0::DOUBLE), ('b', 3.0::DOUBLE, 15.0::DOUBLE), ('c', 1.0::DOUBLE, 5.0::DOUBLE)),
+ l AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS r, CASE event_id % 2 WHEN 0 THEN 'b' ELSE 'c' END AS s, event_id % 1000 AS it, event_id % 100 AS ot FROM events)
+ SELECT event_id, round((it * x.i + ot * x.o) / 1e6 - (it * y.i + ot * y.o) / 1e6, 6) AS saved_dollars FROM l JOIN p x ON x.model = r JOIN p y ON y.model = s""")
+def price_savings(spark, sf_dir) -> DataFrame:
+    prices = spark.createDataFrame([("a", 15.0, 75.0), ("b", 3.0, 15.0), ("c", 1.0, 5.0)], "model string, in_price double, out_price double")
+    k = F.col("event_id")
+    log = D.table(spark, sf_dir, "events").select(
+        "event_id", F.when(k % 3 == 0, "a").when(k % 3 == 1, "b").otherwise("c").alias("requested"), F.when(k % 2 == 0, "b").otherwise("c").alias("served"), (k % 1000).alias("in_tokens"), (k % 100).alias("out_tokens")
+    )
+    return RP.price_difference(log, prices).select("event_id", "saved_dollars")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity >= 20 AND l_linenumber >= 2) OR l_partkey % 5 >= 1 OR l_suppkey % 3 >= 1 OR l_orderkey % 4 >= 2 AS material FROM lineitem")
+def loss_predicates(spark, sf_dir) -> DataFrame:
+    x = D.table(spark, sf_dir, "lineitem")
+    d1 = F.when((F.col("l_quantity") >= 20) & (F.col("l_linenumber") >= 2), 2).otherwise(0)
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", RP.material_loss(d1, F.col("l_partkey") % 5, F.col("l_suppkey") % 3, F.col("l_orderkey") % 4).alias("material"))
+
+
+@query()
+def prose_reduction(spark, sf_dir) -> DataFrame:
+    """Documents through the prose path with a stand-in model that drops every third word, by verdict."""
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    model = lambda text, rate: " ".join(w for i, w in enumerate(text.split()) if i % 3)
+    out = reduce_texts(docs, model=model)
+    return out.groupBy("detected", "action", "skip_reason").agg(F.count(F.lit(1)).alias("items"), F.sum("in_tokens").alias("in_tokens"), F.sum("out_tokens").alias("out_tokens"))
+
+
+@query()
+def model_side_gate(spark, sf_dir) -> DataFrame:
+    docs = D.table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    vote = G.model_gate(F.col("text"), F.lit(None).cast("boolean"), none, none)
+    return docs.select("doc_id", vote.klass.alias("klass"), vote.signal.alias("signal"))
+
+
+@query()
+def verdict_summary(spark, sf_dir) -> DataFrame:
+    return RP.summary(reduce_texts(mixed(spark, sf_dir)))
