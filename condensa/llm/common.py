@@ -57,6 +57,15 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows of a side that may be broadcast after they were counted.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows. df should be persisted or read from a table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only, whatever the locale."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, table
+from .common import BROADCAST_ROWS, SPACE, materialize, table
 
 SALTS = 8
 #: A group is hot from this share of all rows; at most 1 / HOT groups can be, so their list has a proven size.
@@ -46,6 +46,12 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], total: int) -
     return found.filter(F.col("group_size").isNotNull()).unionByName(rest)
 
 
+def lookup_join(rows: DataFrame, groups: DataFrame, on: list[str], total: int) -> DataFrame:
+    """spread_join() for groups that are persisted: a counted small side is broadcast as a whole."""
+    few = groups.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(groups), on) if few else spread_join(rows, groups, on, total)
+
+
 def members(docs: DataFrame, digest: Callable[[Column], Column] = lambda c: F.unhex(F.sha2(c, 256))) -> DataFrame:
     """One row per document: doc_id, digest, keep_id, group_size and kept. docs needs doc_id and text."""
     norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .exact import spread_join
+from .exact import lookup_join
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """edges (u, v) with m, the least v of each u. Hubs are joined by broadcast, see spread_join()."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("group_size"))
-    return spread_join(edges, least, ["u"], total)
+    """edges (u, v) with m, the least v of each u. Hubs are joined by broadcast, see exact.py."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("group_size")).persist()
+    return lookup_join(edges, least, ["u"], total)
 
 
 def large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -38,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while before.n:
         after_large = materialize(large_star(edges, before.n), "large-star")
-        after_small = materialize(small_star(after_large, max(1, after_large.count())), "small-star")
+        after_small = materialize(small_star(after_large, before.n), "small-star")
         discard(edges)
         discard(after_large)
         edges, after = after_small, mark(after_small)

@@ -4,11 +4,13 @@
    signature: HASHES minima of multiply-add hashes of the 64-bit shingle hashes.
 2. Documents with equal sets form a class (pre-aggregated, so groups of copies collapse before anything else); the
    smallest doc_id stands for it.
-3. Signatures are cut into bands. Two sets of similarity 0.8 agree in at least one of 24 bands of 4 rows with
-   probability 1 - 3e-6, more similar ones more surely.
-4. A bucket yields pairs of one pivot with each other member, never all pairs. In later rounds each bucket whose members
-   still lie in several components takes another, hashed pivot and is compared again with members of other components,
-   until a round adds no link. No bucket is capped or skipped.
+3. Signatures are cut into bands. Two sets of similarity 0.8 agree in at least one of 45 bands of 6 rows with
+   probability 1 - 1e-6, more similar ones more surely; unlike sets seldom do, however many there are.
+4. A bucket yields pairs of one pivot with each other member, never all pairs. Then, level by level: in each bucket whose
+   members lie in several components, all members outside its largest component are compared with every member of other
+   components if they are at most OUTSIDE, which settles the bucket. If they are more, the bucket gets STARS more pivots and
+   is split by SPLITS further bands into smaller ones for the next level. This ends when no bucket is open, or when
+   QUIET_LEVELS levels in a row have found no link; no bucket is capped or skipped.
 5. Pairs whose sizes or signatures rule the threshold out go (an agreement six standard deviations too low); the others
    are confirmed on the full sets.
 6. Links become components by large-star and small-star.
@@ -28,15 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches, table
-from .exact import spread_join
+from .common import materialize, small, small_batches, table
+from .exact import lookup_join, spread_join
 from .graph import components
 
-BANDS, BAND_ROWS = 24, 4
+BANDS, BAND_ROWS = 45, 6
 HASHES = BANDS * BAND_ROWS
+#: Hashes of a signature whose lowest bytes are kept for the signature check.
+CHECKED = HASHES
 PERCENT, SHINGLE = 80, 5
-#: Ids of documents to check that may be broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 100_000
+OUTSIDE, STARS, SPLITS, QUIET_LEVELS = 4, 1, 3, 1
+#: Documents whose signatures (about 300 bytes each) may be broadcast.
+SMALL_SIGNED = 25_000
 CACHE_WORDS = 300_000
 CHUNK = 1 << 15
 
@@ -93,16 +98,28 @@ def signature_rows(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band, its number included."""
+    parts = minima.reshape(len(minima), BANDS, BAND_ROWS).astype(np.uint64)
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * MIX, (len(minima), 1))
+    for k in range(BAND_ROWS):
+        keys = (keys ^ parts[:, :, k]) * STEP
+        keys ^= keys >> np.uint64(29)
+    return (keys * MIX).view(np.int64)
+
+
 def _signatures(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t, size, hashes) for t in batch.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
-            rows = iter(signature_rows(full) if full else ())
+            minima = signature_rows(full) if full else np.zeros((0, HASHES), np.uint32)
+            rows, keys = iter(minima[:, :CHECKED].astype(np.uint8)), iter(band_keys(minima))
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             signed = [next(rows).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+            bands = [next(keys) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sig", "bands"])
 
     return run
 
@@ -119,14 +136,14 @@ def _sets(size: int):
 def least_agreement(percent: int) -> int:
     """Signature agreements that a pair at the threshold misses with a probability of about 1e-8."""
     p = percent / 100
-    return max(0, int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5))
+    return max(0, int(CHECKED * p - 6 * (CHECKED * p * (1 - p)) ** 0.5))
 
 
 def _agreeing(least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CHECKED) for i in (2, 3))
                 yield batch.filter(pa.array((x == y).sum(axis=1) >= least)).select([0, 1])
 
     return run
@@ -145,55 +162,121 @@ def _confirmed(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
-    signed = pairs.join(side("b"), "b").join(side("a"), "a")
+def _near(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n_shingles, sig) of the given ids; where those are few, nodes is filtered in place instead of shuffled."""
+    return materialize(nodes.select("id", "n_shingles", "sig").join(small(ids.persist()), "id", "left_semi"), "minhash-near")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures don't rule out."""
+    near = _near(nodes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    side = lambda x: near.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
+    signed = pairs.join(small(side("b"), SMALL_SIGNED), "b").join(small(side("a"), SMALL_SIGNED), "a")
     signed = signed.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "siga", "sigb")
-    likely = materialize(signed.mapInArrow(_agreeing(least_agreement(percent)), "a long, b long").distinct(), "minhash-likely")
-    ids = materialize(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct(), "minhash-ids")
-    n = ids.count()
-    if not n:
+    return signed.mapInArrow(_agreeing(least_agreement(percent)), "a long, b long")
+
+
+def _linked(likely: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold. Sets are made for the documents of the pairs alone."""
+    likely = materialize(likely, "minhash-likely")
+    asked = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().persist()
+    if asked.isEmpty():
         return likely
-    wanted = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = materialize(wanted.mapInArrow(_sets(size), "id long, shingles binary"), "minhash-sets")
+    sets = docs.join(small(asked), "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary").persist()
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set{x}"))
     full = likely.join(side("b"), "b").join(side("a"), "a").select("a", "b", "seta", "setb")
     links = materialize(full.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "minhash-links")
-    for old in (likely, ids, sets):
-        discard(old)
+    for old in (sets, asked):
+        old.unpersist()
     return links
 
 
+def _open_buckets(members: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """Members of buckets with several components: bucket, id, component, group_size, major (the largest component there)
+    and outside (how many members are not in it)."""
+    placed = members.join(small(found), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")).persist()
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("bucket").agg(F.sum("n").alias("group_size"), F.max(F.struct("n", "component")).alias("top"))
+    split = split.select("bucket", "group_size", F.col("top.component").alias("major"), (F.col("group_size") - F.col("top.n")).alias("outside")).filter("outside > 0").persist()
+    out = materialize(lookup_join(placed, split, ["bucket"], total * BANDS), "minhash-open")
+    for old in (split, placed):
+        old.unpersist()
+    return out
+
+
+def _met(least: int, percent: int):
+    """Members of a bucket against its pivots: pairs of other components that sizes and signatures allow."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pivots = batch.column(4)
+            each = pivots.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(pivots.offsets.to_numpy()))
+            ids, component, sizes = (batch.column(i).to_numpy()[row] for i in range(3))
+            pid, pcomponent, psizes = (each.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            good = (component != pcomponent) & (100 * np.minimum(sizes, psizes) >= percent * np.maximum(sizes, psizes))
+            row, ids, pid, at = row[good], ids[good], pid[good], np.flatnonzero(good)
+            if len(row):
+                mine = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CHECKED)
+                theirs = np.frombuffer(b"".join(each.field(3).to_pylist()), np.uint8).reshape(-1, CHECKED)
+                good = np.concatenate([(mine[row[k : k + 4096]] == theirs[at[k : k + 4096]]).sum(axis=1) for k in range(0, len(row), 4096)]) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, pid)[good]), pa.array(np.maximum(ids, pid)[good])], ["a", "b"])
+
+    return run
+
+
+def _settling_pairs(rows: DataFrame, nodes: DataFrame, percent: int, total: int, level: int) -> DataFrame:
+    """Likely pairs (a, b) that settle buckets with few members outside the largest component, and further stars in the
+    others. A member meets the pivots of its bucket within its row; pairs leave only after the signature check."""
+    near = _near(nodes, rows.select("id").distinct())
+    rows = rows.join(small(near, SMALL_SIGNED), "id")
+    pivot = F.struct("id", "component", "n_shingles", "sig")
+    outer = rows.filter((F.col("outside") <= OUTSIDE) & (F.col("component") != F.col("major")))
+    few = outer.groupBy("bucket").agg(F.collect_list(pivot).alias("pivots"), F.first("group_size").alias("group_size"))
+    draws = [F.min_by(pivot, F.struct(F.xxhash64("id", F.lit(STARS * level + k)), "id")) for k in range(STARS)]
+    many = rows.filter(F.col("outside") > OUTSIDE).groupBy("bucket").agg(F.array_distinct(F.array(*draws)).alias("pivots"), F.first("group_size").alias("group_size"))
+    joined = lookup_join(rows.select("bucket", "id", "component", "n_shingles", "sig"), few.unionByName(many).persist(), ["bucket"], total * BANDS)
+    met = joined.select("id", "component", "n_shingles", "sig", "pivots").mapInArrow(_met(least_agreement(percent), percent), "a long, b long")
+    return met.distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept. docs needs doc_id and
     text."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(docs.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, digest binary, sig binary"), "minhash-signed")
+    signed = materialize(docs.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "minhash-signed")
     named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("group_size")), "minhash-classes")
+    classes = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("group_size")), "minhash-classes")
     total = max(1, classes.count())
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * (4 * BAND_ROWS) + 1, F.lit(4 * BAND_ROWS))))
-    dealt = classes.select("id", F.explode(band).alias("bucket"))
+    dealt = classes.select("id", F.explode("bands").alias("bucket"))
     stats = materialize(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("group_size"), F.min("id").alias("pivot")).filter("group_size > 1"), "minhash-buckets")
-    members = materialize(spread_join(dealt, stats, ["bucket"], total * BANDS), "minhash-members")
+    members = materialize(lookup_join(dealt, stats, ["bucket"], total * BANDS), "minhash-members")
     pairs = members.filter("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = _linked(materialize(pairs, "minhash-pairs"), classes, docs, shingle, percent)
+    links = _linked(_likely(pairs.persist(), classes, percent), docs, shingle, percent)
     found = materialize(components(links), "minhash-components")
-    k = 1
-    while True:
-        placed = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        placed = materialize(placed, "minhash-placed")
-        pivot = F.min_by(F.struct("id", "component"), F.struct(F.xxhash64("id", F.lit(k)), "id"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("p"), F.count(F.lit(1)).alias("group_size")).filter("lo < hi")
-        split = materialize(split.select("bucket", "group_size", F.col("p.id").alias("pivot"), F.col("p.component").alias("at")), "minhash-split")
-        pairs = spread_join(placed, split, ["bucket"], total * BANDS).filter("component <> at").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        new = _linked(materialize(pairs, "minhash-pairs"), classes, docs, shingle, percent)
-        if new.isEmpty():
+    level = quiet = 0
+    while quiet < QUIET_LEVELS:
+        level += 1
+        open_rows = _open_buckets(members.select("bucket", "id"), found, total)
+        if open_rows.isEmpty():
+            break
+        new = _linked(_settling_pairs(open_rows, classes, percent, total, level), docs, shingle, percent)
+        quiet += 1
+        if not new.isEmpty():
+            quiet = 0
+            found = materialize(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new.select("a", "b"))), "minhash-components")
+        wide = open_rows.filter(F.col("outside") > OUTSIDE)
+        if wide.isEmpty():
             break
-        found = materialize(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new.select("a", "b"))), "minhash-components")
-        k += 1
+        ids = wide.select("id").distinct().persist()
+        finer = wide.select("bucket", "id").join(classes.select("id", "bands").join(small(ids), "id", "left_semi"), "id")
+        place = lambda k: F.pmod(F.xxhash64("bucket", k), F.lit(BANDS)).cast("int")
+        finer = finer.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda k: F.xxhash64("bucket", F.get("bands", place(k)))))).alias("bucket"))
+        members = materialize(finer, "minhash-members")
+        ids.unpersist()
     final = classes.join(found, "id", "left").select("digest", "group_size", F.coalesce("component", "id").alias("component_id"))
     out = spread_join(named.select("doc_id", "n_shingles", "digest"), final, ["digest"], max(1, signed.count()))
     alone = signed.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
