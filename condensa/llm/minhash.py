@@ -11,7 +11,7 @@
    components if they are at most OUTSIDE, which settles the bucket. If they are more, the bucket gets STARS more pivots and
    is split by SPLITS further bands into smaller ones for the next level. This ends when no bucket is open, or when
    QUIET_LEVELS levels in a row have found no link; no bucket is capped or skipped.
-5. Pairs whose sizes or signatures rule the threshold out go (an agreement six standard deviations too low); the others
+5. Pairs whose sizes or signatures rule the threshold out go (an agreement 4.5 standard deviations too low); the others
    are confirmed on the full sets.
 6. Links become components by large-star and small-star.
 
@@ -39,7 +39,7 @@ HASHES = BANDS * BAND_ROWS
 #: Hashes of a signature whose lowest bytes are kept for the signature check.
 CHECKED = HASHES
 PERCENT, SHINGLE = 80, 5
-OUTSIDE, STARS, SPLITS, QUIET_LEVELS = 4, 1, 3, 1
+OUTSIDE, STARS, SPLITS, QUIET_LEVELS = 2, 1, 2, 1
 #: Documents whose signatures (about 300 bytes each) may be broadcast.
 SMALL_SIGNED = 25_000
 CACHE_WORDS = 300_000
@@ -134,9 +134,9 @@ def _sets(size: int):
 
 
 def least_agreement(percent: int) -> int:
-    """Signature agreements that a pair at the threshold misses with a probability of about 1e-8."""
+    """Signature agreements that a pair at the threshold misses with a probability of about 3e-6."""
     p = percent / 100
-    return max(0, int(CHECKED * p - 6 * (CHECKED * p * (1 - p)) ** 0.5))
+    return max(0, int(CHECKED * p - 4.5 * (CHECKED * p * (1 - p)) ** 0.5))
 
 
 def _agreeing(least: int):
@@ -222,7 +222,8 @@ def _met(least: int, percent: int):
                 mine = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CHECKED)
                 theirs = np.frombuffer(b"".join(each.field(3).to_pylist()), np.uint8).reshape(-1, CHECKED)
                 good = np.concatenate([(mine[row[k : k + 4096]] == theirs[at[k : k + 4096]]).sum(axis=1) for k in range(0, len(row), 4096)]) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, pid)[good]), pa.array(np.maximum(ids, pid)[good])], ["a", "b"])
+                pairs = np.unique(np.stack([np.minimum(ids, pid)[good], np.maximum(ids, pid)[good]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return run
 

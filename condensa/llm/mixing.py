@@ -62,7 +62,7 @@ def sample_copies(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tu
     spark = docs.sparkSession
     more = [k for k in keys if k != "doc_id"]
     order = hex32(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = materialize(docs.select("doc_id", *more, "source", word_count(F.col("text")).alias("size"), order.alias("_h")), "mix-sizes")
+    rows = docs.select("doc_id", *more, "source", word_count(F.col("text")).alias("size"), order.alias("_h")).persist()  # a plain scan: what is lost is read again
     by = [F.col("source").asc_nulls_last(), F.col("size"), F.col("_h"), F.col("doc_id")]
     ranged = materialize(rows.repartitionByRange(*by).withColumn("_slice", F.spark_partition_id()), "mix-ranged")
     slices = ranged.groupBy("source", "_slice").agg(F.count(F.lit(1)).alias("_n"))
