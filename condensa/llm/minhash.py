@@ -6,11 +6,13 @@
    smallest doc_id stands for it.
 3. Signatures are cut into bands. Two sets of similarity 0.8 agree in at least one of 45 bands of 6 rows with
    probability 1 - 1e-6, more similar ones more surely; unlike sets seldom do, however many there are.
-4. A bucket yields pairs of one pivot with each other member, never all pairs. Then, level by level: in each bucket whose
-   members lie in several components, all members outside its largest component are compared with every member of other
-   components if they are at most OUTSIDE, which settles the bucket. If they are more, the bucket gets STARS more pivots and
-   is split by SPLITS further bands into smaller ones for the next level. This ends when no bucket is open, or when
-   QUIET_LEVELS levels in a row have found no link; no bucket is capped or skipped.
+4. A bucket first yields pairs of one pivot with each other member. Then, level by level: in each bucket whose members lie
+   in several components, all members outside its largest component are compared with every member of other components if
+   they are at most a bound, which settles the bucket. If they are more, about as many drawn members as the bound says are
+   compared with every member of other components, and the bucket stays open as it is. The bound is OUTSIDE and grows
+   GROWTH times a level, so every bucket is settled in the end: any two members of a bucket end in one component or were
+   compared. Comparisons are made between cells of about CELL members, so a large bucket is spread over many tasks. Their
+   number grows with the square of a bucket only as far as its members stay in different components.
 5. Pairs whose sizes or signatures rule the threshold out go (an agreement 4.5 standard deviations too low); the others
    are confirmed on the full sets.
 6. Links become components by large-star and small-star.
@@ -39,7 +41,9 @@ HASHES = BANDS * BAND_ROWS
 #: Hashes of a signature whose lowest bytes are kept for the signature check.
 CHECKED = HASHES
 PERCENT, SHINGLE = 80, 5
-OUTSIDE, STARS, SPLITS, QUIET_LEVELS = 2, 1, 2, 1
+OUTSIDE, GROWTH, CELL = 2, 8, 64
+#: Pairs of a cell pair or of many small ones whose signatures are compared at a time.
+MEETINGS = 1 << 17
 #: Documents whose signatures (about 300 bytes each) may be broadcast.
 SMALL_SIGNED = 25_000
 CACHE_WORDS = 300_000
@@ -178,7 +182,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _linked(likely: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold. Sets are made for the documents of the pairs alone."""
-    likely = materialize(likely, "minhash-likely")
+    if not hasattr(likely, "_condensa_path"):
+        likely = materialize(likely, "minhash-likely")
     asked = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().persist()
     if asked.isEmpty():
         return likely
@@ -205,42 +210,61 @@ def _open_buckets(members: DataFrame, found: DataFrame, total: int) -> DataFrame
 
 
 def _met(least: int, percent: int):
-    """Members of a bucket against its pivots: pairs of other components that sizes and signatures allow."""
+    """Members of a cell against pivots of their bucket: pairs of other components that sizes and signatures allow."""
+
+    def met(ours: pa.ListArray, pivots: pa.ListArray) -> np.ndarray:
+        one, two = ours.flatten(), pivots.flatten()
+        mine, theirs = np.diff(ours.offsets.to_numpy()), np.diff(pivots.offsets.to_numpy())
+        times = np.repeat(theirs, mine)  # pivots that each member meets
+        first = np.repeat(np.cumsum(theirs) - theirs, mine)
+        row = np.repeat(np.arange(len(one)), times)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+        (ids, component, sizes), (pid, pcomponent, psizes) = ([x.field(k).to_numpy(zero_copy_only=False) for k in range(3)] for x in (one, two))
+        sizes, psizes = sizes[row], psizes[at]
+        good = (component[row] != pcomponent[at]) & (100 * np.minimum(sizes, psizes) >= percent * np.maximum(sizes, psizes))
+        row, at = row[good], at[good]
+        x, y = (np.frombuffer(b"".join(z.field(3).to_pylist()), np.uint8).reshape(-1, CHECKED) for z in (one, two))
+        good = [(x[row[k : k + 4096]] == y[at[k : k + 4096]]).sum(axis=1) >= least for k in range(0, len(row), 4096)]
+        good = np.concatenate(good) if good else np.zeros(0, bool)
+        ids, pid = ids[row[good]], pid[at[good]]
+        return np.stack([np.minimum(ids, pid), np.maximum(ids, pid)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pivots = batch.column(4)
-            each = pivots.flatten()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(pivots.offsets.to_numpy()))
-            ids, component, sizes = (batch.column(i).to_numpy()[row] for i in range(3))
-            pid, pcomponent, psizes = (each.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            good = (component != pcomponent) & (100 * np.minimum(sizes, psizes) >= percent * np.maximum(sizes, psizes))
-            row, ids, pid, at = row[good], ids[good], pid[good], np.flatnonzero(good)
-            if len(row):
-                mine = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CHECKED)
-                theirs = np.frombuffer(b"".join(each.field(3).to_pylist()), np.uint8).reshape(-1, CHECKED)
-                good = np.concatenate([(mine[row[k : k + 4096]] == theirs[at[k : k + 4096]]).sum(axis=1) for k in range(0, len(row), 4096)]) >= least
-                pairs = np.unique(np.stack([np.minimum(ids, pid)[good], np.maximum(ids, pid)[good]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            ours, pivots = batch.column(0), batch.column(1)
+            cost = np.cumsum(np.diff(ours.offsets.to_numpy()).astype(np.int64) * np.diff(pivots.offsets.to_numpy()))
+            cuts = [*np.flatnonzero(np.diff(cost // MEETINGS, prepend=0)).tolist(), batch.num_rows]
+            found, at = [np.zeros((2, 0), np.int64)], 0
+            for till in cuts:
+                if till > at:
+                    found.append(met(ours.slice(at, till - at), pivots.slice(at, till - at)))
+                    at = till
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return run
 
 
-def _settling_pairs(rows: DataFrame, nodes: DataFrame, percent: int, total: int, level: int) -> DataFrame:
-    """Likely pairs (a, b) that settle buckets with few members outside the largest component, and further stars in the
-    others. A member meets the pivots of its bucket within its row; pairs leave only after the signature check."""
+def _settling_pairs(rows: DataFrame, nodes: DataFrame, percent: int, most: int, level: int) -> DataFrame:
+    """Likely pairs (a, b) that settle the buckets with at most so many members outside the largest component, and those of
+    about as many drawn pivots in the others. Pairs leave only after the signature check."""
     near = _near(nodes, rows.select("id").distinct())
-    rows = rows.join(small(near, SMALL_SIGNED), "id")
-    pivot = F.struct("id", "component", "n_shingles", "sig")
-    outer = rows.filter((F.col("outside") <= OUTSIDE) & (F.col("component") != F.col("major")))
-    few = outer.groupBy("bucket").agg(F.collect_list(pivot).alias("pivots"), F.first("group_size").alias("group_size"))
-    draws = [F.min_by(pivot, F.struct(F.xxhash64("id", F.lit(STARS * level + k)), "id")) for k in range(STARS)]
-    many = rows.filter(F.col("outside") > OUTSIDE).groupBy("bucket").agg(F.array_distinct(F.array(*draws)).alias("pivots"), F.first("group_size").alias("group_size"))
-    joined = lookup_join(rows.select("bucket", "id", "component", "n_shingles", "sig"), few.unionByName(many).persist(), ["bucket"], total * BANDS)
-    met = joined.select("id", "component", "n_shingles", "sig", "pivots").mapInArrow(_met(least_agreement(percent), percent), "a long, b long")
-    return met.distinct()
+    rows = rows.join(small(near, SMALL_SIGNED), "id").persist()
+    settled = F.col("outside") <= most
+    drawn = F.pmod(F.xxhash64("id", F.lit(level)), F.col("group_size")) < most
+    cells = F.ceil(F.col("group_size") / CELL).cast("int")
+    pivot_cells = F.ceil(F.when(settled, F.col("outside")).otherwise(F.lit(most)) / CELL).cast("int")
+    # each member is in one cell of its bucket, each pivot in one pivot cell; each cell meets each pivot cell
+    dealt = rows.withColumns({"cells": cells, "pivot_cells": pivot_cells, "cell": F.pmod(F.xxhash64("id", F.lit("cell")), cells).cast("int"), "pivot_cell": F.pmod(F.xxhash64("id", F.lit("pivot")), pivot_cells).cast("int")})
+    member = F.struct("id", "component", "n_shingles", "sig")
+    asked = F.when(settled, F.col("component") != F.col("major")).otherwise(drawn)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ours = dealt.groupBy("bucket", "cell").agg(F.collect_list(member).alias("ours"), F.first("pivot_cells").alias("n")).withColumn("pivot_cell", each("n")).drop("n")
+    pivots = dealt.filter(asked).groupBy("bucket", "pivot_cell").agg(F.collect_list(member).alias("pivots"), F.first("cells").alias("n")).withColumn("cell", each("n")).drop("n")
+    met = ours.join(pivots, ["bucket", "cell", "pivot_cell"]).select("ours", "pivots").mapInArrow(_met(least_agreement(percent), percent), "a long, b long")
+    out = materialize(met.distinct(), "minhash-met")
+    rows.unpersist()
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -258,26 +282,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     pairs = members.filter("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = _linked(_likely(pairs.persist(), classes, percent), docs, shingle, percent)
     found = materialize(components(links), "minhash-components")
-    level = quiet = 0
-    while quiet < QUIET_LEVELS:
+    level, most = 0, OUTSIDE
+    while True:
         level += 1
         open_rows = _open_buckets(members.select("bucket", "id"), found, total)
         if open_rows.isEmpty():
             break
-        new = _linked(_settling_pairs(open_rows, classes, percent, total, level), docs, shingle, percent)
-        quiet += 1
+        new = _linked(_settling_pairs(open_rows, classes, percent, most, level), docs, shingle, percent)
         if not new.isEmpty():
-            quiet = 0
             found = materialize(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new.select("a", "b"))), "minhash-components")
-        wide = open_rows.filter(F.col("outside") > OUTSIDE)
-        if wide.isEmpty():
+        members = open_rows.filter(F.col("outside") > most)
+        if members.isEmpty():
             break
-        ids = wide.select("id").distinct().persist()
-        finer = wide.select("bucket", "id").join(classes.select("id", "bands").join(small(ids), "id", "left_semi"), "id")
-        place = lambda k: F.pmod(F.xxhash64("bucket", k), F.lit(BANDS)).cast("int")
-        finer = finer.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda k: F.xxhash64("bucket", F.get("bands", place(k)))))).alias("bucket"))
-        members = materialize(finer, "minhash-members")
-        ids.unpersist()
+        most *= GROWTH
     final = classes.join(found, "id", "left").select("digest", "group_size", F.coalesce("component", "id").alias("component_id"))
     out = spread_join(named.select("doc_id", "n_shingles", "digest"), final, ["digest"], max(1, signed.count()))
     alone = signed.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

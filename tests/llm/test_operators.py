@@ -207,6 +207,20 @@ def test_near_duplicates(spark, size):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_wide_buckets_lose_no_link(spark):
+    """300 texts that share boilerplate just below the threshold, and 15 pairs of them just above it: the shared buckets are
+    wide, a pivot seldom hits a link, and every link has to be found all the same."""
+    common = [f"c{k}" for k in range(200)]
+    texts = []
+    for i in range(300):
+        own = [f"u{i}x{k}" for k in range(30)]
+        if i < 30:
+            own[:6] = [f"p{i // 2}x{k}" for k in range(6)]
+        texts.append((i, " ".join(common + own)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), shingle=1).collect()}
+    assert got == slow_components(texts, 1) == {i: i - i % 2 if i < 30 else i for i in range(300)}
+
+
 def test_components(spark):
     rng = random.Random(12)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)] + [(400, 400 + i) for i in range(1, 30)]
