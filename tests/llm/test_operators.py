@@ -110,6 +110,18 @@ def test_lm_is_a_distribution():
     assert math.isclose((10**first).sum(), 1, rel_tol=1e-4)
 
 
+def test_lm_head_holds_a_thousand_words():
+    """The 1,000 most frequent words are symbols of their own, in histories and as predictions."""
+    v = type("V", (), {})()
+    v.words, v.counts = [b"", *(f"w{i}".encode() for i in range(1999))], np.arange(2000, 0, -1.0)
+    v.tail_class, v.tail_mass = {b"1": 0}, np.full(lm.TAILS, 3.5)
+    lexicon = lm.Lexicon(v)
+    assert lexicon.symbol[:1000].tolist() == list(range(1000)) and lm.HEAD >= 1000 and lm.TAILS >= 32
+    classes, inside = lm.start_weights(v)
+    first = [lm.token_logs((classes, inside), [np.array([k])])[0] for k in (1, 999)]
+    assert math.isclose(first[0] - first[1], math.log10(1999.5 / 1001.5), rel_tol=1e-3)
+
+
 def slow_lines(texts):
     held = {}
     for i, t in texts:
