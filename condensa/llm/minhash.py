@@ -6,24 +6,26 @@
    smallest doc_id stands for it.
 3. Signatures are cut into bands. Two sets of similarity 0.8 agree in at least one of 45 bands of 6 rows with
    probability 1 - 1e-6, more similar ones more surely; unlike sets seldom do, however many there are.
-4. A bucket first yields pairs of one pivot with each other member. Then, level by level: in each bucket whose members lie
-   in several components, all members outside its largest component are compared with every member of other components if
-   they are at most a bound, which settles the bucket. If they are more, about as many drawn members as the bound says are
-   compared with every member of other components, and the bucket stays open as it is. The bound is OUTSIDE and grows
-   GROWTH times a level, so every bucket is settled in the end: any two members of a bucket end in one component or were
-   compared. Comparisons are made between cells of about CELL members, so a large bucket is spread over many tasks. Their
-   number grows with the square of a bucket only as far as its members stay in different components.
-5. Pairs whose sizes or signatures rule the threshold out go (an agreement 4.5 standard deviations too low); the others
+4. A bucket first yields the pairs of one pivot with each other member. Where that leaves much to compare, more such
+   rounds follow, with drawn members of each bucket's largest component, as long as they halve what is left.
+5. Then every bucket whose members still lie in several components is settled: all its members outside its largest
+   component are compared with every member of other components. Narrow buckets (at most NARROW members) give the pairs
+   that signatures allow. Wide buckets are cut into cells of a bounded number of members and shingles; a task gets two
+   cells with their full sets, confirms the pairs of other components there and returns a spanning forest of the links.
+   So no bucket is capped, skipped or thinned, and the rows made grow in proportion to the members of buckets.
+6. Pairs whose sizes or signatures rule the threshold out go (an agreement 4.5 standard deviations too low); the others
    are confirmed on the full sets.
-6. Links become components by large-star and small-star.
+7. Links become components by large-star and small-star.
 
 Nulls: a null or empty text has no shingles and is linked with nothing; a row with a null doc_id is linked with nothing,
-has a null component and is kept. Rows that share a doc_id are one document: each of their texts counts for it. An empty
-table gives an empty table; clashing and other columns are not read.
+has a null component and is kept. Rows that share a doc_id are one document: each of their texts counts for it, and they
+are in one component. Very long texts are read whole. An empty table gives an empty table; clashing and other columns are
+not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small, small_batches, table
+from .common import discard, materialize, small, small_batches, table
 from .exact import lookup_join, spread_join
 from .graph import components
 
@@ -41,8 +43,11 @@ HASHES = BANDS * BAND_ROWS
 #: Hashes of a signature whose lowest bytes are kept for the signature check.
 CHECKED = HASHES
 PERCENT, SHINGLE = 80, 5
-OUTSIDE, GROWTH, CELL = 2, 8, 64
-#: Pairs of a cell pair or of many small ones whose signatures are compared at a time.
+#: Members of a narrow bucket; members and shingles of a cell of a wide one; columns of a cell's matrix at a time.
+NARROW, CELL, CELL_SHINGLES, COLUMNS = 32, 512, 1 << 19, 4096
+#: Comparisons for each document beyond which another round of pivots comes before buckets are settled.
+WORK = 1000
+#: Pairs of many narrow buckets whose signatures are compared at a time.
 MEETINGS = 1 << 17
 #: Documents whose signatures (about 300 bytes each) may be broadcast.
 SMALL_SIGNED = 25_000
@@ -180,42 +185,48 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return signed.mapInArrow(_agreeing(least_agreement(percent)), "a long, b long")
 
 
+def _set_rows(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the given documents alone."""
+    return docs.join(small(ids), docs["doc_id"] == ids["id"], "left_semi").mapInArrow(_sets(size), "id long, shingles binary")
+
+
 def _linked(likely: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. Sets are made for the documents of the pairs alone."""
-    if not hasattr(likely, "_condensa_path"):
-        likely = materialize(likely, "minhash-likely")
-    asked = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().persist()
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
+    likely = materialize(likely, "minhash-likely")
+    asked = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().persist()
     if asked.isEmpty():
         return likely
-    sets = docs.join(small(asked), "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary").persist()
+    sets = _set_rows(asked, docs, size).persist()
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set{x}"))
     full = likely.join(side("b"), "b").join(side("a"), "a").select("a", "b", "seta", "setb")
     links = materialize(full.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "minhash-links")
     for old in (sets, asked):
         old.unpersist()
+    discard(likely)
     return links
 
 
 def _open_buckets(members: DataFrame, found: DataFrame, total: int) -> DataFrame:
-    """Members of buckets with several components: bucket, id, component, group_size, major (the largest component there)
-    and outside (how many members are not in it)."""
-    placed = members.join(small(found), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")).persist()
-    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("bucket").agg(F.sum("n").alias("group_size"), F.max(F.struct("n", "component")).alias("top"))
-    split = split.select("bucket", "group_size", F.col("top.component").alias("major"), (F.col("group_size") - F.col("top.n")).alias("outside")).filter("outside > 0").persist()
+    """Members of the buckets with several components: bucket, id, n_shingles, component, and of the bucket group_size, major
+    (its largest component), outside (how many members are not in it) and the shingles of both, all_words and out_words."""
+    placed = members.join(small(found), "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component")).persist()
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("words"))
+    split = sizes.groupBy("bucket").agg(F.sum("n").alias("group_size"), F.sum("words").alias("all_words"), F.max(F.struct("n", "component", "words")).alias("top"))
+    split = split.filter("group_size > top.n").select("bucket", "group_size", "all_words", F.col("top.component").alias("major"), (F.col("group_size") - F.col("top.n")).alias("outside"), (F.col("all_words") - F.col("top.words")).alias("out_words")).persist()
     out = materialize(lookup_join(placed, split, ["bucket"], total * BANDS), "minhash-open")
     for old in (split, placed):
         old.unpersist()
     return out
 
 
-def _met(least: int, percent: int):
-    """Members of a cell against pivots of their bucket: pairs of other components that sizes and signatures allow."""
+def _narrow(least: int, percent: int):
+    """Members of narrow buckets against those outside the largest component: pairs of other components that sizes and
+    signatures allow."""
 
-    def met(ours: pa.ListArray, pivots: pa.ListArray) -> np.ndarray:
-        one, two = ours.flatten(), pivots.flatten()
-        mine, theirs = np.diff(ours.offsets.to_numpy()), np.diff(pivots.offsets.to_numpy())
-        times = np.repeat(theirs, mine)  # pivots that each member meets
+    def met(ours: pa.ListArray, others: pa.ListArray) -> np.ndarray:
+        one, two = ours.flatten(), others.flatten()
+        mine, theirs = np.diff(ours.offsets.to_numpy()), np.diff(others.offsets.to_numpy())
+        times = np.repeat(theirs, mine)  # others that each member meets
         first = np.repeat(np.cumsum(theirs) - theirs, mine)
         row = np.repeat(np.arange(len(one)), times)
         at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
@@ -223,7 +234,7 @@ def _met(least: int, percent: int):
         sizes, psizes = sizes[row], psizes[at]
         good = (component[row] != pcomponent[at]) & (100 * np.minimum(sizes, psizes) >= percent * np.maximum(sizes, psizes))
         row, at = row[good], at[good]
-        x, y = (np.frombuffer(b"".join(z.field(3).to_pylist()), np.uint8).reshape(-1, CHECKED) for z in (one, two))
+        x, y = (_bytes_of(z.field(3)) for z in (one, two))
         good = [(x[row[k : k + 4096]] == y[at[k : k + 4096]]).sum(axis=1) >= least for k in range(0, len(row), 4096)]
         good = np.concatenate(good) if good else np.zeros(0, bool)
         ids, pid = ids[row[good]], pid[at[good]]
@@ -231,13 +242,13 @@ def _met(least: int, percent: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ours, pivots = batch.column(0), batch.column(1)
-            cost = np.cumsum(np.diff(ours.offsets.to_numpy()).astype(np.int64) * np.diff(pivots.offsets.to_numpy()))
+            ours, others = batch.column(0), batch.column(1)
+            cost = np.cumsum(np.diff(ours.offsets.to_numpy()).astype(np.int64) * np.diff(others.offsets.to_numpy()))
             cuts = [*np.flatnonzero(np.diff(cost // MEETINGS, prepend=0)).tolist(), batch.num_rows]
             found, at = [np.zeros((2, 0), np.int64)], 0
             for till in cuts:
                 if till > at:
-                    found.append(met(ours.slice(at, till - at), pivots.slice(at, till - at)))
+                    found.append(met(ours.slice(at, till - at), others.slice(at, till - at)))
                     at = till
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -245,26 +256,121 @@ def _met(least: int, percent: int):
     return run
 
 
-def _settling_pairs(rows: DataFrame, nodes: DataFrame, percent: int, most: int, level: int) -> DataFrame:
-    """Likely pairs (a, b) that settle the buckets with at most so many members outside the largest component, and those of
-    about as many drawn pivots in the others. Pairs leave only after the signature check."""
+def _bytes_of(signatures: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, CHECKED)
+
+
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of some sets has in common with each of some others."""
+    flat = [np.concatenate(x) for x in (one, two)]
+    own = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two)]
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(one), len(two)))
+    if not len(common):
+        return out
+    at = [np.searchsorted(common, f) for f in flat]
+    real = [common[np.minimum(a, len(common) - 1)] == f for a, f in zip(at, flat, strict=True)]
+    own, at = [o[r] for o, r in zip(own, real, strict=True)], [a[r] for a, r in zip(at, real, strict=True)]
+    for low in range(0, len(common), COLUMNS):
+        sides = []
+        for o, a, n in zip(own, at, out.shape, strict=True):
+            here = (a >= low) & (a < low + COLUMNS)
+            side = np.zeros((n, min(COLUMNS, len(common) - low)), np.float32)
+            side[o[here], a[here] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest (row, column) of a matrix of links between two sides."""
+    rows_left, columns_left, out = links.any(axis=1), np.ones(links.shape[1], bool), []
+    while rows_left.any():
+        rows = [int(np.argmax(rows_left))]
+        rows_left[rows[0]] = False
+        while rows:
+            r = rows.pop()
+            columns = np.flatnonzero(links[r] & columns_left).tolist()
+            columns_left[columns] = False
+            out += [(r, c) for c in columns]
+            for c in columns:
+                more = np.flatnonzero(links[:, c] & rows_left).tolist()
+                rows_left[more] = False
+                out += [(x, c) for x in more]
+                rows += more
+    return out
+
+
+def _wide(least: int, percent: int):
+    """Two cells of a wide bucket: a spanning forest of the links between them."""
+
+    def run(cells: pa.Table) -> pa.Table:
+        outside = cells.column("outsider").to_numpy()
+        sides = []
+        for mask in (~outside, outside):
+            side = cells.filter(pa.array(mask))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in side.column("shingles").chunks for x in c]
+            sides.append((side.column("id").to_numpy(), side.column("component").to_numpy(), sets, np.array([len(x) for x in sets], np.int64), signature_rows(sets)[:, :CHECKED].astype(np.uint8) if sets else np.zeros((0, CHECKED), np.uint8)))
+        (ids, component, sets, sizes, x), (others, theirs, their_sets, their_sizes, y) = sides
+        good = (component[:, None] != theirs) & (100 * np.minimum(sizes[:, None], their_sizes) >= percent * np.maximum(sizes[:, None], their_sizes))
+        for r in np.flatnonzero(good.any(axis=1)).tolist():
+            good[r] &= (x[r] == y).sum(axis=1) >= least
+        rows, columns = np.flatnonzero(good.any(axis=1)), np.flatnonzero(good.any(axis=0))
+        found = []
+        if len(rows):
+            both = shared_counts([sets[r] for r in rows], [their_sets[c] for c in columns])
+            linked = 100 * both >= percent * (sizes[rows][:, None] + their_sizes[columns] - both)
+            found = [(ids[rows[r]], others[columns[c]]) for r, c in forest(linked & good[np.ix_(rows, columns)])]
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+    return run
+
+
+def _settled_narrow(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of narrow open buckets."""
     near = _near(nodes, rows.select("id").distinct())
-    rows = rows.join(small(near, SMALL_SIGNED), "id").persist()
-    settled = F.col("outside") <= most
-    drawn = F.pmod(F.xxhash64("id", F.lit(level)), F.col("group_size")) < most
-    cells = F.ceil(F.col("group_size") / CELL).cast("int")
-    pivot_cells = F.ceil(F.when(settled, F.col("outside")).otherwise(F.lit(most)) / CELL).cast("int")
-    # each member is in one cell of its bucket, each pivot in one pivot cell; each cell meets each pivot cell
-    dealt = rows.withColumns({"cells": cells, "pivot_cells": pivot_cells, "cell": F.pmod(F.xxhash64("id", F.lit("cell")), cells).cast("int"), "pivot_cell": F.pmod(F.xxhash64("id", F.lit("pivot")), pivot_cells).cast("int")})
     member = F.struct("id", "component", "n_shingles", "sig")
-    asked = F.when(settled, F.col("component") != F.col("major")).otherwise(drawn)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ours = dealt.groupBy("bucket", "cell").agg(F.collect_list(member).alias("ours"), F.first("pivot_cells").alias("n")).withColumn("pivot_cell", each("n")).drop("n")
-    pivots = dealt.filter(asked).groupBy("bucket", "pivot_cell").agg(F.collect_list(member).alias("pivots"), F.first("cells").alias("n")).withColumn("cell", each("n")).drop("n")
-    met = ours.join(pivots, ["bucket", "cell", "pivot_cell"]).select("ours", "pivots").mapInArrow(_met(least_agreement(percent), percent), "a long, b long")
-    out = materialize(met.distinct(), "minhash-met")
-    rows.unpersist()
-    return out
+    dealt = rows.drop("n_shingles").join(small(near, SMALL_SIGNED), "id").groupBy("bucket").agg(F.collect_list(member).alias("ours"), F.collect_list(F.when(F.col("component") != F.col("major"), member)).alias("others"))
+    return dealt.select("ours", "others").mapInArrow(_narrow(least_agreement(percent), percent), "a long, b long").distinct()
+
+
+def _settled_wide(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is linked in wide open buckets; each task gets two cells with their full sets."""
+    asked = rows.select("id").distinct().persist()
+    sets = _set_rows(asked, docs, size)
+    cells_of = lambda n, words: F.ceil(F.greatest(F.col(n) / CELL, F.col(words) / CELL_SHINGLES)).cast("int")
+    place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    dealt = rows.withColumns({"cells": cells_of("group_size", "all_words"), "other_cells": cells_of("outside", "out_words")}).select("bucket", "id", "component", "cells", "other_cells", (F.col("component") != F.col("major")).alias("out"))
+    # a member is in one cell and meets each cell of outsiders; an outsider is in one cell of them besides and meets each cell
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    meets = F.transform(every("other_cells"), lambda k: F.struct(F.lit(False).alias("outsider"), place("member", "cells").alias("cell"), k.alias("other_cell")))
+    meets_out = F.transform(every("cells"), lambda k: F.struct(F.lit(True).alias("outsider"), k.alias("cell"), place("outsider", "other_cells").alias("other_cell")))
+    dealt = dealt.select("bucket", "id", "component", F.explode(F.concat(meets, F.when(F.col("out"), meets_out).otherwise(F.slice(meets_out, 1, 0)))).alias("x")).select("bucket", "id", "component", "x.*")
+    links = materialize(dealt.join(sets, "id").groupBy("bucket", "cell", "other_cell").applyInArrow(_wide(least_agreement(percent), percent), "a long, b long").distinct(), "minhash-wide")
+    asked.unpersist()
+    return links
+
+
+def _star_pairs(rows: DataFrame, salt: int) -> DataFrame:
+    """Pairs of each open bucket's outsiders with a drawn member of its largest component."""
+    pivots = rows.filter("component = major").groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(salt))).alias("pivot"))
+    return rows.filter("component <> major").join(pivots, "bucket").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+
+
+def _merged(found: DataFrame, *links: DataFrame) -> DataFrame:
+    edges = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    for more in links:
+        edges = edges.unionByName(more.select("a", "b"))
+    return materialize(components(edges), "minhash-components")
+
+
+def _same_ids(named: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """Edges (a, b) between a doc_id that stands at several sets and the classes of those."""
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id").persist()
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    rows = named.select("doc_id", "digest").distinct().join(several, "doc_id", "left_semi")
+    return materialize(spread_join(rows, classes.select("digest", "id", "group_size"), ["digest"], total).select(F.col("id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct(), "minhash-same-ids")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -276,25 +382,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("group_size")), "minhash-classes")
     total = max(1, classes.count())
-    dealt = classes.select("id", F.explode("bands").alias("bucket"))
+    dealt = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     stats = materialize(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("group_size"), F.min("id").alias("pivot")).filter("group_size > 1"), "minhash-buckets")
-    members = materialize(lookup_join(dealt, stats, ["bucket"], total * BANDS), "minhash-members")
-    pairs = members.filter("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = _linked(_likely(pairs.persist(), classes, percent), docs, shingle, percent)
-    found = materialize(components(links), "minhash-components")
-    level, most = 0, OUTSIDE
+    members = materialize(lookup_join(dealt, stats, ["bucket"], total * BANDS).select("bucket", "id", "n_shingles", "pivot"), "minhash-members")
+    pairs = members.filter("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().persist()
+    links = _linked(_likely(pairs, classes, percent), docs, shingle, percent)
+    pairs.unpersist()
+    found = materialize(components(links.unionByName(_same_ids(named, classes, total))), "minhash-components")
+    left, salt = math.inf, 0
     while True:
-        level += 1
-        open_rows = _open_buckets(members.select("bucket", "id"), found, total)
-        if open_rows.isEmpty():
-            break
-        new = _linked(_settling_pairs(open_rows, classes, percent, most, level), docs, shingle, percent)
-        if not new.isEmpty():
-            found = materialize(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new.select("a", "b"))), "minhash-components")
-        members = open_rows.filter(F.col("outside") > most)
-        if members.isEmpty():
+        rows = _open_buckets(members.select("bucket", "id", "n_shingles"), found, total)
+        wide = F.col("group_size") > NARROW
+        seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(wide, 1)).alias("wide"), F.sum(F.when(wide, F.col("outside").cast("double"))).alias("work")).first()
+        if (seen.work or 0) <= WORK * total or seen.work > left / 2:
             break
-        most *= GROWTH
+        # another star does no harm to what buckets owe: what it links is one component less to compare
+        left, salt = seen.work, salt + 1
+        drawn = _star_pairs(rows, salt).persist()
+        found = _merged(found, _linked(_likely(drawn, classes, percent), docs, shingle, percent))
+        drawn.unpersist()
+        discard(rows)
+    new = [_linked(_settled_narrow(rows.filter(~wide), classes, percent), docs, shingle, percent)] if seen.n > seen.wide else []
+    new += [_settled_wide(rows.filter(wide), docs, shingle, percent)] if seen.wide else []
+    found = _merged(found, *new) if new else found
+    for old in (stats, members, links, rows, *new):
+        discard(old)
     final = classes.join(found, "id", "left").select("digest", "group_size", F.coalesce("component", "id").alias("component_id"))
     out = spread_join(named.select("doc_id", "n_shingles", "digest"), final, ["digest"], max(1, signed.count()))
     alone = signed.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

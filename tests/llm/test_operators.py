@@ -233,6 +233,81 @@ def test_wide_buckets_lose_no_link(spark):
     assert got == slow_components(texts, 1) == {i: i - i % 2 if i < 30 else i for i in range(300)}
 
 
+def family_components(texts, size):
+    """As slow_components(), for a few thousand texts: sets are bit masks."""
+    bit, sets = {}, []
+    for _, t in texts:
+        w = words(t)
+        sets.append(sum(1 << bit.setdefault(x, len(bit)) for x in {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}))
+    sizes, parent = [x.bit_count() for x in sets], list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b in range(a):
+            both = (x & sets[b]).bit_count()
+            if 100 * both >= 80 * (sizes[a] + sizes[b] - both):
+                one, two = root(a), root(b)
+                parent[max(one, two)] = min(one, two)
+    return {i: texts[root(k)][0] for k, (i, _) in enumerate(texts)}
+
+
+@pytest.mark.parametrize("work, cell", [(1000, 512), (0, 64)])
+def test_a_family_of_two_thousand_loses_no_link(spark, monkeypatch, work, cell):
+    """Variants of one text that are mostly unlike each other by a little, each with a twin that is like it. Once with the
+    usual bounds, once with further pivots and many small cells."""
+    monkeypatch.setattr(minhash, "WORK", work)
+    monkeypatch.setattr(minhash, "CELL", cell)
+    rng = random.Random(21)
+    base, texts = [f"b{k}" for k in range(200)], []
+    for i in range(1000):
+        one = list(base)
+        for k in rng.sample(range(200), 8):
+            one[k] = f"v{i}x{k}"
+        two = list(one)
+        for k in rng.sample(range(200), 10):
+            two[k] = f"t{i}x{k}"
+        texts += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    want = family_components(texts, 2)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), shingle=2).collect()}
+    assert got == want and 2 < len(set(want.values())) < 2000
+
+
+def test_shared_counts_and_forest():
+    rng = np.random.default_rng(5)
+    one, two = ([np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in rng.integers(1, 6000, k)] for k in (9, 7))
+    assert minhash.shared_counts(one, two).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in two] for x in one]
+    for density in (0.0, 0.05, 0.3, 1.0):
+        links = rng.random((12, 9)) < density
+        found = minhash.forest(links)
+        assert all(links[r, c] for r, c in found) and len(found) == len(set(found)) <= 20
+        grow = lambda edges: {x: y for x, y in _roots([("r", r, "c", c) for r, c in edges]).items()}
+        assert grow(found) == grow(zip(*map(list, np.nonzero(links))))
+
+
+def _roots(edges):
+    parent = {}
+    root = lambda x: x if parent.setdefault(x, x) == x else root(parent[x])
+    for a, i, b, j in edges:
+        x, y = root((a, int(i))), root((b, int(j)))
+        parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in sorted(parent)}
+
+
+def test_near_duplicates_with_odd_ids_and_long_texts(spark):
+    """A doc_id at several texts joins their groups; a null doc_id is linked with nothing; long texts are read whole."""
+    one, two, three = ("%s " * 12 % tuple(f"{x}{k}" for k in range(12)) for x in "abc")
+    long = " ".join(f"w{k % 5000}y{k // 7}" for k in range(150_000))
+    texts = [(1, one), (5, one), (5, two), (9, two), (None, one), (None, None), (20, three), (21, three), (30, long), (31, long + " end"), (32, long[: len(long) // 2]), (40, ""), (40, "")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, texts), shingle=2).collect()), key=str)
+    want = [(1, 1, True), (5, 1, False), (5, 1, False), (9, 1, False), (None, None, True), (None, None, True), (20, 20, True), (21, 20, False), (30, 30, True), (31, 30, False), (32, 32, True), (40, 40, True), (40, 40, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_components(spark):
     rng = random.Random(12)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)] + [(400, 400 + i) for i in range(1, 30)]
