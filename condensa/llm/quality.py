@@ -7,12 +7,13 @@ lines); ids, language and source are never looked at. A linear scorer f minimise
     prior * mean_P loss(f) + max(0, mean_U loss(-f) - prior * mean_P loss(-f))
 
 with the logistic loss; while the inner difference is negative, the step goes up it instead. The class prior is estimated
-from a first scorer that tells positives from unlabelled rows: the least ratio, over thresholds, of the share of unlabelled
-rows above to the share of positives above. Last, the intercept puts THRESHOLD between the lowest trusted positives and
-the unlabelled rows that the prior leaves for the other class; the risk fixes the order of documents, not this place.
+from a first scorer that tells positives from unlabelled rows: the ratio of the share of unlabelled rows above a threshold to
+the share of positives above it, at the threshold with the least upper bound of that ratio. The risk's own minimum decides: nothing is shifted afterwards, and a score is
+the logistic function of f.
 
-Only the fit uses a sample: at most about max_positive and max_unlabelled rows, drawn by a hash of doc_id, whose numeric
-statistics (not texts) go to the driver. Every document is scored on its whole text, in one pass without a shuffle.
+Every text is described once, in one pass, and written as numbers (about 150 bytes a row). The prior counts all of those
+rows, in one pass of mergeable counts. Only the weights rest on a sample: at most about max_positive and max_unlabelled
+rows, drawn by a hash of doc_id, whose numbers (not texts) go to the driver.
 
 Nulls: null and empty texts have the statistics of an empty text and get a score; null ids come back as null and never
 carry a label. Repeated rows are scored each; repeated labels count once (the largest quality). Without positives every
@@ -31,12 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex32, remainder5, small_batches, table
+from .common import hex32, materialize, remainder5, small_batches, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 40_000
 THRESHOLD = 0.3
-PASS, MARGIN = 0.001, (0.25, 1.0)
-CLIP = 6.0
+CLIP, STEPS, DECAY = 6.0, 600, 1e-3
 SYMBOLS = b"#$%&*+/<=>@[\\]^_`{|}~"
 
 
@@ -87,90 +87,127 @@ def _descend(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, floor: float = 0.25) -> float:
-    """The least share ratio over thresholds that at least `floor` of the positives pass, from scores of both sides."""
-    cuts = np.quantile(positive, np.linspace(0.002, 1 - floor, 200))
-    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="left") / len(x)
-    spread = 2 * np.sqrt(0.25 / len(positive) + 0.25 / len(unlabelled))
-    return float(np.clip(np.min((above(unlabelled) + spread) / above(positive)), 0.02, 0.98))
+def prior_cuts(positive: np.ndarray, floor: float = 0.25) -> np.ndarray:
+    """Thresholds that at least `floor` of the positives pass, from their scores."""
+    return np.quantile(positive, np.linspace(0.002, 1 - floor, 200))
+
+
+def counts_above(cuts: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """How many scores reach each threshold."""
+    return len(scores) - np.searchsorted(np.sort(scores), cuts, side="left")
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unlabelled: int) -> float:
+    """The share ratio at the threshold with the least upper bound of it (Garg et al., 2021), from how many of both sides
+    reach each."""
+    p, u = positive / n_positive, unlabelled / n_unlabelled
+    doubt = sum(math.sqrt(math.log(40) / (2 * n)) for n in (n_positive, n_unlabelled))
+    best = int(np.argmin((u + doubt) / p))
+    return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
 class Scorer:
     """Scales, weights and prior; small enough to go along with the function that uses it."""
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600, decay: float = 1e-3):
-        self.prior = 0.5
-        self.weights = np.zeros(N_FEATURES + 1)
-        if not len(positive):
-            self.center, self.scale = np.zeros(N_FEATURES), np.ones(N_FEATURES)
-            return
-        both = np.concatenate([positive, unlabelled])
-        self.center, self.scale = positive.mean(axis=0), np.maximum(both.std(axis=0), 1e-3)
-        p, u = self.scaled(positive), self.scaled(unlabelled)
-
-        def plain(w):  # positives against unlabelled rows, both sides of equal weight
-            return -(p.T @ _sigmoid(-p @ w)) / len(p) + (u.T @ _sigmoid(u @ w)) / len(u) + decay * w
-
-        w = _descend(plain, N_FEATURES + 1, steps // 2)
-        self.prior = estimate_prior(p @ w, u @ w)
-
-        def risk(w):
-            fp, fu = p @ w, u @ w
-            up = self.prior * -(p.T @ _sigmoid(-fp)) / len(p)
-            negative = np.logaddexp(0, fu).mean() - self.prior * np.logaddexp(0, fp).mean()
-            down = (u.T @ _sigmoid(fu)) / len(u) - self.prior * (p.T @ _sigmoid(fp)) / len(p)
-            return (up + down if negative >= 0 else -down) + decay * w
-
-        self.weights = _descend(risk, N_FEATURES + 1, steps)
-        good, other = np.quantile(p @ self.weights, PASS), np.quantile(u @ self.weights, 0.5 * (1 - self.prior))
-        self.weights[-1] += math.log(THRESHOLD / (1 - THRESHOLD)) + np.clip(0.3 * (good - other), *MARGIN) - good
+    def __init__(self, center: np.ndarray | None = None, scale: np.ndarray | None = None):
+        self.center = np.zeros(N_FEATURES) if center is None else center
+        self.scale = np.ones(N_FEATURES) if scale is None else scale
+        self.prior, self.weights = 0.5, np.zeros(N_FEATURES + 1)
 
     def scaled(self, rows: np.ndarray) -> np.ndarray:
         return np.append(np.clip((rows - self.center) / self.scale, -CLIP, CLIP), np.ones((len(rows), 1)), axis=1)
 
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        return (self.scaled(rows) * self.weights).sum(axis=1)  # unlike a matrix product, the same in every batch
+
     def score(self, rows: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.scaled(rows) @ self.weights)
+        return _sigmoid(self.places(rows))
+
+
+def tell_apart(positive: np.ndarray, unlabelled: np.ndarray) -> Scorer:
+    """The first scorer: positives against unlabelled rows, both sides of equal weight."""
+    out = Scorer(positive.mean(axis=0), np.maximum(np.concatenate([positive, unlabelled]).std(axis=0), 1e-3))
+    p, u = out.scaled(positive), out.scaled(unlabelled)
+    out.weights = _descend(lambda w: -(p.T @ _sigmoid(-p @ w)) / len(p) + (u.T @ _sigmoid(u @ w)) / len(u) + DECAY * w, N_FEATURES + 1, STEPS // 2)
+    return out
+
+
+def least_risk(first: Scorer, prior: float, positive: np.ndarray, unlabelled: np.ndarray) -> Scorer:
+    """The minimum of the non-negative risk."""
+    out = Scorer(first.center, first.scale)
+    out.prior = prior
+    p, u = out.scaled(positive), out.scaled(unlabelled)
+
+    def slope(w):
+        fp, fu = p @ w, u @ w
+        up = prior * -(p.T @ _sigmoid(-fp)) / len(p)
+        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        down = (u.T @ _sigmoid(fu)) / len(u) - prior * (p.T @ _sigmoid(fp)) / len(p)
+        return (up + down if negative >= 0 else -down) + DECAY * w
+
+    out.weights = _descend(slope, N_FEATURES + 1, STEPS)
+    return out
 
 
 def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([statistics(t).tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], ["x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "x"])
 
 
-def _sampled(docs: DataFrame, most: int) -> np.ndarray:
-    n = docs.count()
-    if not n:
-        return np.zeros((0, N_FEATURES))
-    drawn = docs if n <= most else docs.filter(hex32(F.concat(F.lit("quality:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) < int(most / n * 2**32))
-    rows = drawn.select(F.col("text").cast("binary")).mapInArrow(_describe, "x array<double>").toArrow().column("x").combine_chunks()
-    return np.asarray(rows.flatten()).reshape(-1, N_FEATURES) if len(rows) else np.zeros((0, N_FEATURES))
+def describe(docs: DataFrame) -> DataFrame:
+    """doc_id and x, the statistics of the whole text as float32, of every document; written, so texts are read once."""
+    small_batches(docs.sparkSession)
+    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_describe, "doc_id long, x binary"), "quality-described")
 
 
-def fit(docs: DataFrame, positives: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Scorer:
-    """docs: doc_id, text (the unlabelled side). positives: doc_id of trusted documents."""
-    small_batches(docs.sparkSession)
-    n = positives.count()
-    if n > max_positive:  # thinned before the join, so texts are only joined for what is used
-        positives = positives.filter(hex32(F.concat(F.lit("quality:"), F.col("doc_id").cast("string"))) < int(max_positive / n * 2**32))
-    known = docs.join(F.broadcast(positives.select("doc_id").distinct()), "doc_id", "left_semi")  # about max_positive ids
-    return Scorer(_sampled(known, 2 * max_positive), _sampled(docs, max_unlabelled))
+def _numbers(x: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
 
 
-def _scores(scorer: Scorer):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted(drawn: DataFrame) -> np.ndarray:
+    """The rows of a drawn sample in an order of their own, so that reruns agree."""
+    return _numbers(sorted(drawn.select("x").toArrow().column("x").to_pylist()))
+
+
+def _draw(rows: DataFrame, n: int, most: int) -> DataFrame:
+    return rows if n <= most else rows.filter(hex32(F.concat(F.lit("quality:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) < int(most / n * 2**32))
+
+
+def fit(described: DataFrame, positives: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Scorer:
+    """described: see describe() (the unlabelled side). positives: doc_id of trusted documents."""
+    asked = _draw(positives.select("doc_id").distinct(), positives.count(), max_positive)  # about max_positive ids at most
+    known = described.join(F.broadcast(asked), "doc_id", "left_semi").select("x")
+    positive = _sorted(_draw(known.withColumn("doc_id", F.xxhash64("x")), known.count(), 2 * max_positive))
+    n = described.count()
+    if not len(positive) or not n:
+        return Scorer()
+    unlabelled = _sorted(_draw(described, n, max_unlabelled))
+    if not len(unlabelled):
+        unlabelled = positive
+    # the first scorer learns from every other positive and is judged by the rest, else its prior comes out too low
+    first = tell_apart(positive[::2], unlabelled)
+    scored = first.places(positive[1::2] if len(positive) > 1 else positive)
+    cuts = prior_cuts(scored)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(cuts), np.int64)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
-            rows = np.stack([statistics(t) for t in texts]) if texts else np.zeros((0, N_FEATURES))
-            names = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(scorer.score(rows))], [*names, "score"])
+            total += counts_above(cuts, first.places(_numbers(batch.column(0).to_pylist())))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts))), pa.array(total)], ["cut", "n"])
 
-    return run
+    above = {r.cut: r.n for r in described.select("x").mapInArrow(count, "cut long, n long").groupBy("cut").agg(F.sum("n").alias("n")).collect()}
+    prior = estimate_prior(counts_above(cuts, scored), np.array([above.get(k, 0) for k in range(len(cuts))]), len(scored), n)
+    return least_risk(first, prior, positive, unlabelled)
 
 
-def score_quality(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id and score (0 to 1, higher is better) of every document."""
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("_text")).mapInArrow(_scores(scorer), "doc_id long, score double")
+def score_quality(described: DataFrame, scorer: Scorer) -> DataFrame:
+    """doc_id and score (0 to 1, higher is better) of every described document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.score(_numbers(batch.column(1).to_pylist())))], ["doc_id", "score"])
+
+    return described.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
@@ -182,7 +219,7 @@ def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) ->
         for batch in batches:
             texts = batch.column(at).to_pylist()
             if texts:
-                rows = np.stack([statistics(None if t is None else t.encode("utf-8", "surrogatepass")) for t in texts])
+                rows = np.stack([statistics(None if t is None else t.encode("utf-8", "surrogatepass")) for t in texts]).astype(np.float32)
                 yield batch.filter(pa.array(scorer.score(rows) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
@@ -195,7 +232,6 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scorer = fit(docs, trusted(table(spark, sf_dir, "labels")))
-    out = score_quality(docs, scorer)
+    described = describe(table(spark, sf_dir, "documents"))
+    out = score_quality(described, fit(described, trusted(table(spark, sf_dir, "labels"))))
     return out.select("doc_id", (remainder5(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

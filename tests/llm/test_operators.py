@@ -1,6 +1,7 @@
 """Training-data operators on small fixtures: brute force, round trips, nulls, ties, empty tables, odd columns."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -327,13 +328,30 @@ def test_quality(spark):
     texts = [(i, good() if i % 6 else junk()) for i in range(600)] + [(700, None), (701, ""), (702, "x" * 200000)]
     df = docs(spark, texts)
     labels = spark.createDataFrame([(i, int(i % 6 > 0), 0) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
-    scorer = quality.fit(df.select("doc_id", "text"), quality.trusted(labels))
-    rows = quality.score_quality(df, scorer).collect()
+    described = quality.describe(df)
+    scorer = quality.fit(described, quality.trusted(labels))
+    rows = quality.score_quality(described, scorer).collect()
     assert len(rows) == len(texts) and all(0 <= r.score <= 1 for r in rows)
     assert all((r.score >= 0.3) == (r.doc_id % 6 > 0) for r in rows if r.doc_id < 600)
     assert {r.doc_id for r in quality.keep_good(df, scorer).collect() if r.doc_id < 600} == {i for i in range(600) if i % 6}
-    assert {r.score for r in quality.score_quality(df, quality.fit(df, quality.trusted(labels.limit(0)))).collect()} == {0.5}
-    assert quality.score_quality(empty(spark), scorer).count() == 0
+    assert {r.score for r in quality.score_quality(described, quality.fit(described, quality.trusted(labels.limit(0)))).collect()} == {0.5}
+    assert quality.score_quality(quality.describe(empty(spark)), scorer).count() == 0
+    assert {r.score for r in quality.score_quality(described, quality.fit(quality.describe(empty(spark)), quality.trusted(labels))).collect()} == {0.5}
+    twice = quality.describe(df.unionByName(df))
+    assert sorted(r.score for r in quality.score_quality(twice, scorer).collect()) == sorted(2 * [r.score for r in rows])
+    # labels of rows whose remainder is 0 are never learnt from
+    wrong = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert (quality.fit(described, quality.trusted(wrong)).weights == scorer.weights).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_quality_on_held_out_labels(spark):
+    """Order and decision on the rows that are never learnt from."""
+    got = {r.doc_id: r for r in quality.op8_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()]
+    good, bad = ([got[i].score for i, q in labels if q == k and got[i].held_out] for k in (1, 0))
+    auc = sum((a > b) + (a == b) / 2 for a in good for b in bad) / len(good) / len(bad)
+    assert auc > 0.98 and sum(a >= 0.3 for a in good) >= 0.97 * len(good) and sum(b < 0.3 for b in bad) >= 0.9 * len(bad)
 
 
 def test_packing_loses_nothing(spark):
