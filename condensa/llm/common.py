@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows of one Arrow batch that goes to Python; long documents make larger defaults costly.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch that goes to Python; long documents make larger defaults costly.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows, and so the memory, of the Arrow batches that Python workers get."""
+    """Bounds the rows and bytes of the Arrow batches that Python workers get; a row larger than that is a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -30,9 +32,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The shared folder for tables that cut lineage: spark.checkpoint.dir. Where that is unset, a temporary one if all runs
+    in one process (tests); on a cluster the setting is required, as executors share no local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="condensa-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/condensa-{spark.sparkContext.applicationId}"

@@ -5,10 +5,12 @@ of m characters that occurs with at most k edits keeps at least m + 1 - q - k*q
 diagonals (text position minus item position) that differ by at most k. So the shared q-grams are counted in diagonal
 bands of width 2*(k+1) that overlap by half; a band with enough of them is a region, and a region counts as found if a
 banded semi-global alignment of the whole item costs at most k edits. k is edit_rate * m, lowered for short items until
-the lemma asks for at least one q-gram. Items of fewer than q normalised characters are no evidence and are left out.
+the lemma asks for at least one q-gram. Items that so have no budget (fewer than 2q normalised characters, those shorter
+than a q-gram included) are looked for as they are, by an automaton of all of them, and count where they stand as whole
+words; next to a character of a script without spaces any place counts. Items without a letter or digit match nothing.
 
-The benchmark is a stated query set: it is read in blocks of at most BLOCK_CHARS characters, and each block goes through
-the documents in one pass, without a shuffle.
+The benchmark is a stated query set: it is read in blocks of about BLOCK_CHARS characters, dealt by a hash, and each block
+goes through the documents in one pass, without a shuffle.
 
 Nulls: null and empty texts match nothing; null ids come back as null. Repeated rows are searched each. An empty table
 (either one) gives no match. Clashing and other columns are not read by find_leaks() and pass through decontaminate().
@@ -18,9 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
@@ -28,6 +31,9 @@ from .common import small_batches, table
 Q, EDIT_RATE, BLOCK_CHARS = 8, 0.1, 4_000_000
 BITS = 22
 STRETCH = 1_000_000  # characters of a text that are looked up at once
+MEETINGS = 1 << 20  # places of shared q-grams that are counted at once
+#: Code point ranges of scripts that are written without spaces between words.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 BASE, MIX, WORD64 = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), 2**64
 
 _alnum: np.ndarray | None = None
@@ -118,6 +124,11 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) ->
     return (int(ends[d]), int(start[d]), int(diagonals[d]) + m) if ends[d] <= k else None
 
 
+def joined(left: str, right: str) -> bool:
+    """Whether two neighbours belong to one word."""
+    return left != " " and right != " " and not any(low <= ord(c) <= high for c in (left, right) for low, high in UNSPACED)
+
+
 class Index:
     """The q-grams of a block of items, and the search of one text for all of them."""
 
@@ -125,9 +136,15 @@ class Index:
         texts: dict[bytes, list] = {}
         for item, text in items:
             codes = normalise(text or "")[0]
-            if len(codes) >= Q:
+            if len(codes):
                 texts.setdefault(codes.tobytes(), [codes, []])[1].append(item)
-        self.items = list(texts.values())
+        strict = lambda x: min(int(edit_rate * len(x[0])), (len(x[0]) - Q) // Q) <= 0
+        self.items = [x for x in texts.values() if not strict(x)]
+        self.strict = ahocorasick.Automaton()
+        for codes, ids in texts.values():
+            if strict((codes, ids)):
+                self.strict.add_word(codes.tobytes().decode("utf-32-le"), (len(codes), ids))
+        self.strict.make_automaton()
         self.budget, self.need, grams, owners, offsets = [], [], [], [], []
         for n, (codes, _) in enumerate(self.items):
             m = len(codes)
@@ -149,16 +166,27 @@ class Index:
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, edits, start, end) for the cheapest place of each item found; places are in the text as given."""
-        if not text or not self.items:
+        if not text:
             return []
         codes, places = normalise(text)
+        out = sorted((item, 0, a, b) for a, b, ids in self._as_they_are(codes) for item in ids) if len(self.strict) else []
         best: dict[int, tuple[int, int, int]] = {}
         over = 2 * self.longest + 2 * Q
         for at in range(0, max(len(codes) - Q + 1, 0), STRETCH):
             for n, edits, a, b in self._stretch(codes[at : at + STRETCH + over]):
                 if n not in best or edits < best[n][0]:
                     best[n] = edits, at + a, at + b
-        return [(item, edits, int(places[a]), int(places[b - 1]) + 1 if b > a else int(places[a])) for n, (edits, a, b) in sorted(best.items()) for item in self.items[n][1]]
+        out += [(item, edits, a, b) for n, (edits, a, b) in sorted(best.items()) for item in self.items[n][1]]
+        return [(item, edits, int(places[a]), int(places[b - 1]) + 1 if b > a else int(places[a])) for item, edits, a, b in out]
+
+    def _as_they_are(self, codes: np.ndarray) -> list[tuple[int, int, list[int]]]:
+        """(start, end, item ids) of the first place of each item without a budget."""
+        said, found = codes.tobytes().decode("utf-32-le"), {}
+        for last, (m, ids) in self.strict.iter(said):
+            a, b = last + 1 - m, last + 1
+            if ids[0] not in found and not (a and joined(said[a - 1], said[a])) and not (b < len(said) and joined(said[b - 1], said[b])):
+                found[ids[0]] = a, b, ids
+        return list(found.values())
 
     def _likely(self, item: int, region: np.ndarray, k: int) -> bool:
         """The lemma for q = 4, without places."""
@@ -175,15 +203,19 @@ class Index:
         hits, found = hits[real], found[real]
         if not len(hits):
             return
-        counts = self.count[found]
-        where = np.repeat(self.first[found] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        owner = self.owner[where]
-        diagonal = np.repeat(hits, counts) - self.offset[where] + self.longest
-        half = self.budget[owner] + 1
-        band = diagonal // half
         span = np.int64(len(codes) + 2 * self.longest + 4)
-        key = owner * span + band
-        bands, n = np.unique(key, return_counts=True)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        places = np.cumsum(self.count[found])
+        for some in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(places // MEETINGS)) + 1):
+            counts = self.count[found[some]]
+            where = np.repeat(self.first[found[some]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            owner = self.owner[where]
+            diagonal = np.repeat(hits[some], counts) - self.offset[where] + self.longest
+            held.append(np.unique(owner * span + diagonal // (self.budget[owner] + 1), return_counts=True))
+        bands, n = held[0]
+        if len(held) > 1:
+            bands, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
         # band b has the hits of half-bands b and b + 1
         after = np.append((bands[1:] == bands[:-1] + 1) * n[1:], 0)
         before = np.insert((bands[1:] == bands[:-1] + 1) * n[:-1], 0, 0)
@@ -199,17 +231,12 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size; an item larger than a block is a block of its own."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_n"))
-    whole = Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    total = rows.agg(F.sum("_n")).first()[0] or 0
-    if total <= block_chars:
-        yield [(r.item_id, r.text) for r in rows.collect()]
-        return
-    cut = rows.withColumn("_block", F.floor(F.coalesce(F.sum("_n").over(whole), F.lit(0)) / block_chars)).persist()
-    for r in cut.select("_block").distinct().orderBy("_block").collect():
-        yield [(x.item_id, x.text) for x in cut.filter(F.col("_block") == r._block).collect()]
-    cut.unpersist()
+    """The benchmark in blocks of about that many characters; an item larger than a block makes its block larger."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+    total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    blocks = 1 if total <= block_chars else -(-2 * total // block_chars)
+    for k in range(blocks):
+        yield [(r.item_id, r.text) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:

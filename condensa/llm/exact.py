@@ -71,9 +71,17 @@ def members(docs: DataFrame, digest: Callable[[Column], Column] = lambda c: F.un
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs without all but the first document (smallest doc_id) of each group of equal texts."""
-    return docs.join(members(docs).filter("kept").select("doc_id"), "doc_id", "left_semi")
+def dedup(docs: DataFrame, digest: Callable[[Column], Column] = lambda c: F.unhex(F.sha2(c, 256))) -> DataFrame:
+    """docs without the rows whose text a smaller doc_id has too; all columns stay. A row is judged by its id and its text, so
+    an id that lost with one text may stay with another; rows that repeat both stay together; a null id stays where its
+    group has no other."""
+    norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    groups = materialize(winners(norm, digest).select("digest", "norm", "keep_id"), "exact-winners")
+    several = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("digest")
+    named = docs.withColumn("_exact_norm", normalised(F.col("text"))).withColumn("_exact_digest", digest(F.col("_exact_norm")))
+    same = (F.col("_exact_digest") == groups["digest"]) & docs["doc_id"].eqNullSafe(groups["keep_id"])
+    same = same if several.isEmpty() else same & (F.col("_exact_norm") == groups["norm"])
+    return named.join(groups, same, "left_semi").select(*docs.columns)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -178,6 +178,12 @@ def test_exact_even_with_colliding_digests(spark, digest):
     got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.members(docs(spark, texts), digest).collect())
     assert got == want
     assert exact.members(empty(spark)).count() == 0
+    kept = exact.dedup(docs(spark, texts), digest)
+    assert kept.columns == docs(spark, texts).columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t or "") for k, (i, t) in enumerate(texts) if i == min(groups[squeezed[k]]))
+    odd = [(None, "alone"), (0, "b"), (1, "b"), (1, "other"), (None, "b"), (None, "alone")]
+    assert sorted(((r.doc_id, r.text) for r in exact.dedup(docs(spark, odd), digest).collect()), key=str) == sorted([(None, "alone"), (None, "alone"), (0, "b"), (1, "other")], key=str)
+    assert exact.dedup(empty(spark), digest).count() == 0
 
 
 def slow_components(texts, size):
@@ -402,11 +408,27 @@ def edits(item, text):
     return min(row)
 
 
+def test_leaks_in_long_texts_and_shared_grams(spark, monkeypatch):
+    """Texts beyond a stretch, hits counted in pieces, an id that is null: the same leaks."""
+    rng = random.Random(16)
+    said = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(n))
+    items = [(k, "the following question has one right answer: " + said(9)) for k in range(40)]
+    texts = [(1, said(900) + " " + items[3][1] + " " + said(700)), (None, items[5][1]), (2, said(500)), (3, "the following question has one right answer: " * 30)]
+    want = Counter({(1, 3, 0): 1, (None, 5, 0): 1})
+    found = lambda: Counter((r.doc_id, r.item_id, r.edits) for r in decontam.find_leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert found() == want
+    index = decontam.Index(items, 0.1)
+    whole = [index.find(t) for _, t in texts]
+    monkeypatch.setattr(decontam, "STRETCH", 1000)
+    monkeypatch.setattr(decontam, "MEETINGS", 64)
+    assert [index.find(t) for _, t in texts] == whole and whole[0][0][0] == 3 and texts[0][1][whole[0][0][2] : whole[0][0][3]] == items[3][1]
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(15)
     said = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
-    items = [(k, said(rng.randrange(6, 30)).capitalize() + ".") for k in range(12)] + [(50, "tiny"), (51, None), (52, "")]
-    texts = []
+    items = [(k, said(rng.randrange(6, 30)).capitalize() + ".") for k in range(12)] + [(50, "tiny"), (51, None), (52, ""), (53, "Paris"), (54, "巴黎是哪国"), (55, "Thousand!"), (56, "?!"), (57, "paris")]
+    texts = [(400, "I saw PARIS, twice: Paris"), (401, "comparison of parishes"), (402, "问题:巴黎是哪国的首都"), (403, "hundredthousands of them"), (404, "a hundred thousand."), (405, "tinytiny"), (406, "hundredthousands, a thousand")]
     for i in range(150):
         body = said(rng.randrange(40))
         if i % 2:
@@ -422,12 +444,15 @@ def test_leaks_match_brute_force(spark):
     want = Counter()
     for i, t in texts:
         for k, item in items:
-            m = len(flat(item))
-            if m >= 8 and (d := edits(flat(item), flat(t))) <= min(int(0.1 * m), (m - 8) // 8):
+            m, whole = len(flat(item)), flat(item)
+            if 0 < m < 16 and (whole in flat(t) if k == 54 else f" {whole} " in f" {flat(t)} "):
+                want[(i, k, 0)] += 1
+            if m >= 16 and (d := edits(flat(item), flat(t))) <= min(int(0.1 * m), (m - 8) // 8):
                 want[(i, k, d)] += 1
     for block in (4_000_000, 300):
         got = Counter((r.doc_id, r.item_id, r.edits) for r in decontam.find_leaks(df, bench, block_chars=block).collect())
         assert got == want
+    assert {(i, k) for i, k, _ in want if 400 <= i < 500} == {(400, 53), (400, 57), (402, 54), (404, 55), (406, 55)}
     clean = decontam.decontaminate(df, bench, block_chars=300)
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in texts} - {i for i, _, _ in want}
     assert decontam.find_leaks(empty(spark), bench).count() == 0 and decontam.find_leaks(df, bench.limit(0)).count() == 0
