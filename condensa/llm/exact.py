@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, materialize, table
+from .common import BROADCAST_ROWS, SPACE, materialize, table, unused
 
 SALTS = 8
 #: A group is hot from this share of all rows; at most 1 / HOT groups can be, so their list has a proven size.
@@ -78,9 +78,11 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = lambda c: F.unhe
     norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     groups = materialize(winners(norm, digest).select("digest", "norm", "keep_id"), "exact-winners")
     several = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("digest")
-    named = docs.withColumn("_exact_norm", normalised(F.col("text"))).withColumn("_exact_digest", digest(F.col("_exact_norm")))
-    same = (F.col("_exact_digest") == groups["digest"]) & docs["doc_id"].eqNullSafe(groups["keep_id"])
-    same = same if several.isEmpty() else same & (F.col("_exact_norm") == groups["norm"])
+    n, d = unused(docs, "_norm", "_digest")
+    named = docs.withColumn(n, normalised(F.col("text"))).withColumn(d, digest(F.col(n)))
+    groups = groups.select(*[F.col(c).alias(f"_kept_{c}__") for c in groups.columns])
+    same = (named[d] == F.col("_kept_digest__")) & named["doc_id"].eqNullSafe(F.col("_kept_keep_id__"))
+    same = same if several.isEmpty() else same & (named[n] == F.col("_kept_norm__"))
     return named.join(groups, same, "left_semi").select(*docs.columns)
 
 

@@ -10,7 +10,7 @@ partition and source, and ranked inside those slices. So a source with a third o
 
 Nulls: a null text has size 0; null is a source of its own, last in order; a null doc_id is hashed as an empty text.
 Sources without words have target 0 and are never emitted. Repeated rows are sampled one by one. An empty table gives
-an empty table. Columns of the input that clash with those added are replaced.
+an empty table. Other columns are not read by sample_copies() and pass through mix() whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hex32, materialize, small_batches, table
+from .common import WORD, hex32, materialize, small_batches, table, unused
 
 OFFSET_BITS = 2**32
 
@@ -87,13 +87,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, i
 
     Rows that agree in all columns are told apart by a running number, so repeated rows keep their own draws."""
     small_batches(docs.sparkSession)
-    named = docs.withColumn("_fp", F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]))
-    same = Window.partitionBy("doc_id", "_fp").orderBy(F.lit(0))
-    copies = sample_copies(named, weights, share, most, seed, ("doc_id", "_fp"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f"), "copies").withColumn("_i", F.row_number().over(Window.partitionBy("_id", "_f").orderBy("copies")))
-    numbered = named.withColumn("_j", F.row_number().over(same))
-    out = numbered.join(copies, numbered["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f")) & (F.col("_j") == F.col("_i")))
-    return out.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    fp, j, copy, i, f, k, times = unused(docs, "_fp", "_j", "_copy", "_i", "_f", "_k", "_times")
+    named = docs.withColumn(fp, F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]))
+    same = Window.partitionBy("doc_id", fp).orderBy(F.lit(0))
+    copies = sample_copies(named.select("doc_id", "source", "text", F.col(fp).alias("_fp")), weights, share, most, seed, ("doc_id", "_fp"))
+    copies = copies.select(F.col("doc_id").alias(i), F.col("_fp").alias(f), F.col("copies").alias(times)).withColumn(k, F.row_number().over(Window.partitionBy(i, f).orderBy(times)))
+    numbered = named.withColumn(j, F.row_number().over(same))
+    out = numbered.join(copies, numbered["doc_id"].eqNullSafe(F.col(i)) & (F.col(fp) == F.col(f)) & (F.col(j) == F.col(k)))
+    return out.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
