@@ -1,8 +1,9 @@
 """License scan: word-bigram Dice coefficient against license templates, with size bounds.
 
 Texts are normalised (lower case; every run of other characters than letters and digits of ASCII is one space) and
-compared by line, by block (lines between blank lines, where a block has several lines) and as a whole (where it has
-several blocks). For a unit with a bigrams and a template with b, Dice is 2 * shared / (a + b), bigrams counted with
+compared by line, by sentence (where a line has several), by block (lines between blank lines, where a block has several
+lines) and as a whole (where it has several blocks). A license text of several paragraphs is a template as a whole and by
+paragraph, so it is also found paragraph by paragraph on top of a longer text. For a unit with a bigrams and a template with b, Dice is 2 * shared / (a + b), bigrams counted with
 repeats. Dice of at least t needs t/(2-t) * b <= a <= (2-t)/t * b, so units outside the bounds of all templates are
 dropped before their bigrams are made, and the bounds of each template are part of the join. Such a unit also shares
 t/(2-t) * b bigrams at least, so it has one of a few anchor words (see anchors()); texts and units without any are dropped
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 PERCENT = 80
+#: Words of a paragraph that is a template of its own.
+LEAST_WORDS = 10
 #: Words that make poor anchors.
 COMMON = {"a", "an", "and", "any", "are", "be", "by", "for", "in", "is", "it", "not", "of", "or", "other", "that", "the", "this", "to", "with", "without"}
 
@@ -56,15 +59,15 @@ NAMES = {
 }
 NOTICES = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "This project is licensed under the {}.", "Distributed under the terms of the {}."]
 TEXTS = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\nThe origin of this software must not be misrepresented; you must not claim that you wrote the original software.\n\nAltered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\nThis notice may not be removed or altered from any source distribution.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "All-Rights-Reserved": "All rights reserved.",
 }
 
@@ -75,8 +78,9 @@ def bigrams(text: str) -> Counter:
 
 
 def templates() -> list[tuple[str, Counter]]:
-    """(license, bigrams with counts) of every wording."""
-    texts = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES] + list(TEXTS.items())
+    """(license, bigrams with counts) of every wording: notices, whole texts, and the longer paragraphs of texts."""
+    paragraphs = [(k, p) for k, t in TEXTS.items() for p in t.split("\n\n") if len(p.split()) >= LEAST_WORDS]
+    texts = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES] + list(TEXTS.items()) + paragraphs
     return list({(k, tuple(sorted(b.items()))): (k, b) for k, b in ((k, bigrams(t)) for k, t in texts)}.values())
 
 
@@ -116,7 +120,8 @@ def once(value: Column, use) -> Column:
 
 
 def units(text: Column) -> Column:
-    """Lines, blocks of several lines, and the whole of several blocks: array of (unit, place, said)."""
+    """Lines, sentences of lines that have several, blocks of several lines, and the whole of several blocks: array of (unit,
+    place, said)."""
     kind_of = "array<struct<unit:string,place:int,said:string>>"
 
     def made(kind: str, parts: Column, several: bool) -> Column:
@@ -128,7 +133,11 @@ def units(text: Column) -> Column:
         more = once(blocks, lambda b: F.concat(made("block", b, True), F.when(F.size(b) > 1, made("text", F.array(plain), False)).otherwise(F.array().cast(kind_of))))
         return F.concat(made("line", F.split(plain, "\n", -1), False), more)
 
-    return once(F.regexp_replace(F.lower(text), "[^a-z0-9\n]+", " "), cut)
+    # the end of a sentence is marked before signs go
+    marked = F.regexp_replace(F.regexp_replace(F.lower(text), "[.!?]+[ \t]+", "\x01"), "[^a-z0-9\n\x01]+", " ")
+    lines = F.filter(F.transform(F.split(marked, "\n", -1), lambda x: F.rtrim(x, F.lit(" \x01"))), lambda x: x.contains("\x01"))
+    sentences = F.flatten(F.transform(lines, lambda x: F.split(x, "\x01", -1)))
+    return F.concat(once(F.regexp_replace(F.lower(text), "[^a-z0-9\n]+", " "), cut), made("sentence", sentences, False))
 
 
 def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -158,7 +167,7 @@ def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Every line, block or text of documents that matches a license template."""
+    """Every line, sentence, block or text of documents that matches a license template."""
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -168,12 +177,15 @@ def sql(percent: int = PERCENT) -> str:
     values = ", ".join(f"({n}, {quoted(k)}, {sum(b.values())}, {bounds(sum(b.values()), percent)[0]}, {bounds(sum(b.values()), percent)[1]}, {quoted(g)}, {c})" for n, (k, b) in enumerate(found) for g, c in b.items())
     return rf"""
 WITH t(template, license, size, low, high, bigram, times) AS (VALUES {values}),
-p AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g') AS plain FROM documents),
-b AS (SELECT doc_id, plain, string_split_regex(plain, '\n *\n[ \n]*') AS blocks FROM p),
+p AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g') AS plain,
+  regexp_replace(regexp_replace(lower(text), '[.!?]+[ \t]+', chr(1), 'g'), '[^a-z0-9\n\x01]+', ' ', 'g') AS marked FROM documents),
+b AS (SELECT doc_id, plain, string_split_regex(plain, '\n *\n[ \n]*') AS blocks,
+  flatten(list_transform(list_filter(list_transform(string_split(marked, chr(10)), lambda x: rtrim(x, ' ' || chr(1))), lambda x: contains(x, chr(1))), lambda x: string_split(x, chr(1)))) AS sentences FROM p),
 u AS (
   SELECT doc_id, 'line' AS unit, unnest(range(len(string_split(plain, chr(10))))) AS place, unnest(string_split(plain, chr(10))) AS said FROM b
   UNION ALL SELECT * FROM (SELECT doc_id, 'block', unnest(range(len(blocks))), unnest(blocks) AS said FROM b) WHERE contains(said, chr(10))
-  UNION ALL SELECT doc_id, 'text', 0, plain FROM b WHERE len(blocks) > 1),
+  UNION ALL SELECT doc_id, 'text', 0, plain FROM b WHERE len(blocks) > 1
+  UNION ALL SELECT doc_id, 'sentence', unnest(range(len(sentences))), unnest(sentences) FROM b),
 w AS (SELECT doc_id, unit, place, list_filter(string_split_regex(said, '[ \n]+'), lambda x: x <> '') AS words FROM u),
 n AS (SELECT *, len(words) - 1 AS n_bigrams FROM w),
 g AS (SELECT doc_id, unit, place, n_bigrams, unnest(list_transform(range(1, n_bigrams + 1), lambda i: words[i] || ' ' || words[i + 1])) AS bigram

@@ -61,12 +61,16 @@ def test_mixing(spark):
 
 
 def test_licenses(spark):
-    mit = licenses.TEXTS["MIT"]
+    mit = licenses.TEXTS["MIT"].replace("\n\n", " ")
     half = mit.replace(". ", ".\n")
-    texts = [(1, "intro\nReleased under the MIT License.\nend"), (2, mit), (3, half), (4, "one\n\n" + half + "\n\nlast"), (5, "the license of words"), (6, None), (7, ""), (8, "Licensed under CC BY-NC 4.0."), (8, "Licensed under CC BY-NC 4.0."), (9, "x " * 50000)]
+    readme = "A tool that does things.\n\nIt does them well, too.\n\n" + licenses.TEXTS["MIT"] + "\n\nSee the docs."
+    gpl = "\n".join(f"# {x}" for x in ("frob.py", "", *licenses.TEXTS["GPL-3.0"].split("\n"), "")) + "\nimport frob\n\n" + "frob()\n" * 300
+    prose = "We wrote this over one long summer by the sea. Released under the MIT License. Have fun with it!"
+    texts = [(1, "intro\nReleased under the MIT License.\nend"), (2, mit), (3, half), (4, "one\n\n" + half + "\n\nlast"), (5, "the license of words"), (6, None), (7, ""), (8, "Licensed under CC BY-NC 4.0."), (8, "Licensed under CC BY-NC 4.0."), (9, "x " * 50000), (10, readme), (11, gpl), (12, prose), (None, "x. \n\n. MIT license")]
     got = [(r.doc_id, r.unit, r.license) for r in licenses.scan(docs(spark, texts)).collect()]
     assert (1, "line", "MIT") in got and (2, "line", "MIT") in got and (3, "block", "MIT") in got and (4, "block", "MIT") in got
     assert got.count((8, "line", "CC-BY-NC-4.0")) == 2 and not [x for x in got if x[0] in (5, 6, 7, 9)]
+    assert got.count((10, "line", "MIT")) == 3 and got.count((11, "line", "GPL-3.0")) + got.count((11, "line", "GPL-2.0")) == 3 and [x for x in got if x[0] == 12] == [(12, "sentence", "MIT")]
     assert licenses.scan(empty(spark)).count() == 0
     found = licenses.templates()
     anchors = licenses.anchors(found, 80)
