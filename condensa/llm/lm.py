@@ -7,9 +7,16 @@ a probability. Features are the last three tokens, one by one (n-gram and skip f
 two. Weights start at the unigram model.
 
 Counts cover all training texts. Only words of at least a threshold count, at most KEPT of them, go to the workers as a
-dictionary; the rest are joined by shuffle. Training reads every training text once, in two rounds: each learner (a few
-per core) starts from the current weights and makes gradient steps on batches of tokens; after a round the weights are
-averaged by feature, weighted by how often each learner met it. Scoring is one pass of sparse gathers and dense sums.
+dictionary; the rest are joined by shuffle. One pass encodes every text as symbols of two bytes a token; learning and
+scoring read those. Training reads every training text once, in two rounds: texts are dealt to learners by a hash, each
+learner takes its texts in the order of a hash, starts from the current weights and makes gradient steps on batches of
+tokens; after a round the weights are averaged by feature, weighted by how often each learner met it. Scoring is one pass
+of sparse gathers and dense sums.
+
+What is gathered grows with the input: the counts with the vocabulary, the hashed feature rows with the square root of the
+training tokens (up to MOST_ROWS, which a worker's memory sets), the number of learners with the tokens; the symbols of a
+learner's texts, two bytes a token and about a hundred megabytes at most, are one group. All of it follows
+from the data alone, so scores are the same on any number of cores.
 
 Nulls: a null or empty text is its end token alone; a null doc_id counts as an empty text in the split. Repeated rows are
 scored each. An empty table gives an empty table; clashing and other columns are not read.
@@ -33,12 +40,14 @@ TOPS = HEAD // WIDTH
 CLASSES = TOPS + TAILS
 SYMBOLS = HEAD + TAILS + 1  # history symbols: head tokens, tail classes, and before-the-text
 BEFORE = SYMBOLS - 1
-PAIRS, NEAR, FAR = 1 << 13, 1 << 13, 1 << 12
+LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 17
 #: Words of the dictionary that goes to the workers; partial counts and word caches a worker holds.
-KEPT, HELD = 65_536, 100_000
-LEARNERS_PER_CORE, ROUNDS = 4, (0.2, 0.8)
-BATCH, RATE = 4096, 0.15
+KEPT, HELD = 1 << 18, 100_000
+TOKENS_PER_ROW, ROUNDS = 400, (0.2, 0.8)
+BATCH, RATE = 16384, 0.3
 END = b""
+#: Tokens that are scored at a time; no result depends on it.
+SCORED_AT_ONCE = 4096
 LOG10 = 1 / math.log(10)
 
 
@@ -143,22 +152,26 @@ class Lexicon:
 
 # Model
 
-#: Rows of the two weight tables: where each kind of feature begins.
-CLASS_ROWS = np.cumsum([0, SYMBOLS, SYMBOLS, SYMBOLS, PAIRS, 1])
-WORD_ROWS = np.cumsum([0, NEAR, FAR, TOPS])
+#: Where each kind of feature begins in the two weight tables: hashed rows stand last, before the bias of the first table.
+PAIR_ROW, NEAR_ROW = 3 * SYMBOLS, TOPS
+
+
+def hashed_rows(tokens: int) -> int:
+    """Rows for pairs of the last two symbols, for the last symbol in a class, and half as many for the one before it."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << round(math.log2(1.8 * math.sqrt(tokens + 1)))))
 
 
-def start_weights(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def start_weights(v: Vocabulary, rows: int = LEAST_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """The unigram model as the two bias rows."""
     head = np.full(HEAD, -30.0)
     n = min(HEAD, len(v.counts))
     head[:n] = np.log(v.counts[:n] + 0.5)
     by_class = np.logaddexp.reduce(head.reshape(TOPS, WIDTH), axis=1)
-    classes = np.zeros((CLASS_ROWS[-1], CLASSES), np.float32)
+    classes = np.zeros((PAIR_ROW + rows + 1, CLASSES), np.float32)
     bias = np.concatenate([by_class, np.log(v.tail_mass)])
     classes[-1] = bias - np.logaddexp.reduce(bias)
-    inside = np.zeros((WORD_ROWS[-1], WIDTH), np.float32)
-    inside[WORD_ROWS[2] :] = head.reshape(TOPS, WIDTH) - by_class[:, None]
+    inside = np.zeros((NEAR_ROW + rows + rows // 2, WIDTH), np.float32)
+    inside[:NEAR_ROW] = head.reshape(TOPS, WIDTH) - by_class[:, None]
     return classes, inside
 
 
@@ -176,15 +189,15 @@ def history(docs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return flat[place], flat[place - 1], flat[place - 2], flat[place - 3]
 
 
-def class_features(p1: np.ndarray, p2: np.ndarray, p3: np.ndarray) -> list[np.ndarray]:
-    pair = ((p1 * 1_000_003 + p2) * 2_654_435_761 >> 16) % PAIRS
-    return [p1, p2 + CLASS_ROWS[1], p3 + CLASS_ROWS[2], pair + CLASS_ROWS[3]]
+def class_features(p1: np.ndarray, p2: np.ndarray, p3: np.ndarray, rows: int) -> list[np.ndarray]:
+    pair = ((p1 * 1_000_003 + p2) * 2_654_435_761 >> 16) % rows
+    return [p1, p2 + SYMBOLS, p3 + 2 * SYMBOLS, pair + PAIR_ROW]
 
 
-def word_features(p1: np.ndarray, p2: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    near = ((p1 * 10_007 + c) * 2_654_435_761 >> 16) % NEAR
-    far = ((p2 * 20_011 + c) * 2_654_435_761 >> 16) % FAR
-    return [near, far + WORD_ROWS[1], c + WORD_ROWS[2]]
+def word_features(p1: np.ndarray, p2: np.ndarray, c: np.ndarray, rows: int) -> list[np.ndarray]:
+    near = ((p1 * 10_007 + c) * 2_654_435_761 >> 16) % rows
+    far = ((p2 * 20_011 + c) * 2_654_435_761 >> 16) % (rows // 2)
+    return [near + NEAR_ROW, far + NEAR_ROW + rows, c]
 
 
 def log_softmax(w: np.ndarray, features: list[np.ndarray], bias: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,87 +225,105 @@ class Learner:
         g /= total[:, None]
         g[np.arange(len(gold)), gold] -= 1
         for f in features:
-            order = np.argsort(f.astype(np.uint16), kind="stable")
-            rows, cuts, times = np.unique(f[order], return_index=True, return_counts=True)
-            self.update(w, squares, met, rows, np.add.reduceat(g[order], cuts, axis=0), times)
+            order = np.argsort(f, kind="stable") if len(w) > 1 << 16 else np.argsort(f.astype(np.uint16), kind="stable")
+            found = f[order]
+            cuts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            self.update(w, squares, met, found[cuts], np.add.reduceat(g[order], cuts, axis=0), np.diff(cuts, append=len(found)))
         if bias is not None:
             self.update(w, squares, met, np.array([bias]), g.sum(axis=0)[None], np.array([len(gold)]))
 
     def update(self, w, squares, met, rows, slope, times) -> None:
-        seen = squares[rows] + slope * slope
+        seen = squares[rows]
+        seen += slope * slope
         squares[rows] = seen
-        w[rows] -= self.rate * slope / np.sqrt(seen)
+        slope *= self.rate
+        slope /= np.sqrt(seen, out=seen)
+        w[rows] -= slope
         met[rows] += times
 
     def learn(self, docs: list[np.ndarray]) -> None:
+        rows = len(self.tables[0][0]) - PAIR_ROW - 1
         all_s, all_1, all_2, all_3 = history(docs)
         for at in range(0, len(all_s), BATCH):
             s, p1, p2, p3 = (x[at : at + BATCH] for x in (all_s, all_1, all_2, all_3))
             top = s < HEAD
-            self.step(0, class_features(p1, p2, p3), CLASS_ROWS[-1] - 1, np.where(top, s // WIDTH, s - HEAD + TOPS))
+            self.step(0, class_features(p1, p2, p3, rows), PAIR_ROW + rows, np.where(top, s // WIDTH, s - HEAD + TOPS))
             if top.any():
                 c = s[top] // WIDTH
-                self.step(1, word_features(p1[top], p2[top], c), None, s[top] % WIDTH)
+                self.step(1, word_features(p1[top], p2[top], c, rows), None, s[top] % WIDTH)
 
 
 BLOCK = 1024
 
 
-def _learn(lexicon: Lexicon, weights: tuple[np.ndarray, np.ndarray], rate: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _symbols(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint16).astype(np.int64)
 
-        tokens, learner, some, held, learnt = Tokens(lexicon), Learner(*weights, rate), [], 0, False
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                some.append(lexicon.symbol[lexicon.ranks(words_of(text), tokens)])
-                held += len(some[-1])
-                if held >= 16 * BATCH:
-                    learner.learn(some)
-                    some, held, learnt = [], 0, True
+
+def _learn(weights: tuple[np.ndarray, np.ndarray], rate: float):
+    """The weights of one learner times how often it met them, in blocks; blocks that it never met are left out."""
+
+    def run(key: tuple[pa.Scalar], texts: pa.Table) -> pa.Table:
+        learner, some, held = Learner(*weights, rate), [], 0
+        for x in texts.sort_by([("order", "ascending"), ("symbols", "ascending")]).column("symbols").to_pylist():
+            some.append(_symbols(x))
+            held += len(some[-1])
+            if held >= 4 * BATCH:
+                learner.learn(some)
+                some, held = [], 0
         if some:
             learner.learn(some)
-        if some or learnt:
-            part = TaskContext.get().partitionId()
-            for k, (w, _, met) in enumerate(learner.tables):
-                for at in range(0, len(w), BLOCK):
-                    m = met[at : at + BLOCK]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k * 1000 + at // BLOCK], pa.int32()), pa.array([part], pa.int32()), pa.array([(w[at : at + BLOCK] * m[:, None]).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())],
-                        ["block", "part", "w", "met"],
-                    )
+        out = []
+        for k, (w, _, met) in enumerate(learner.tables):
+            for at in range(0, len(w), BLOCK):
+                if (m := met[at : at + BLOCK]).any():
+                    rows = np.flatnonzero(m)
+                    out.append((k * 1000 + at // BLOCK, key[0].as_py(), rows.astype(np.uint16).tobytes(), (w[at : at + BLOCK][rows] * m[rows, None]).tobytes(), m[rows].tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), LEARNT_TYPES, strict=True)], LEARNT_NAMES)
 
     return run
 
 
-def _summed(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("part")
-    add = lambda c: sum((np.frombuffer(x, np.float32).astype(np.float64) for x in rows.column(c).to_pylist()), 0.0).astype(np.float32).tobytes()
-    return pa.table({"block": rows.column("block").slice(0, 1), "part": rows.column("part").slice(0, 1), "w": pa.array([add("w")], pa.binary()), "met": pa.array([add("met")], pa.binary())})
+LEARNT = "block int, part int, rows binary, w binary, met binary"
+LEARNT_NAMES, LEARNT_TYPES = ["block", "part", "rows", "w", "met"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _summed(found: pa.Table) -> pa.Table:
+    """One block from several learners, in the order of those."""
+    w, met = np.zeros((BLOCK, 0)), np.zeros(BLOCK)
+    for r in found.sort_by("part").to_pylist():
+        rows = np.frombuffer(r["rows"], np.uint16)
+        more = np.frombuffer(r["w"], np.float32).reshape(len(rows), -1)
+        if not w.shape[1]:
+            w = np.zeros((BLOCK, more.shape[1]))
+        w[rows] += more
+        met[rows] += np.frombuffer(r["met"], np.float32)
+    rows = np.flatnonzero(met)
+    sums = [rows.astype(np.uint16).tobytes(), w[rows].astype(np.float32).tobytes(), met[rows].astype(np.float32).tobytes()]
+    return pa.table([found.column("block").slice(0, 1), found.column("part").slice(0, 1), *(pa.array([x], pa.binary()) for x in sums)], LEARNT_NAMES)
 
 
 def average(found: DataFrame, groups: int, weights: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Weights by feature, averaged over learners in two levels of sums; features that none met keep theirs."""
-    kind = "block int, part int, w binary, met binary"
-    summed = found.groupBy("block", F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(_summed, kind).groupBy("block").applyInArrow(_summed, kind)
+    summed = found.groupBy("block", F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(_summed, LEARNT).groupBy("block").applyInArrow(_summed, LEARNT)
     out = [w.copy() for w in weights]
     for r in summed.toArrow().to_pylist():
         w = out[r["block"] // 1000][r["block"] % 1000 * BLOCK :][:BLOCK]
         met = np.frombuffer(r["met"], np.float32)
-        new = np.frombuffer(r["w"], np.float32).reshape(w.shape)
-        w[met > 0] = new[met > 0] / met[met > 0, None]
+        w[np.frombuffer(r["rows"], np.uint16)] = np.frombuffer(r["w"], np.float32).reshape(len(met), -1) / met[:, None]
     return out[0], out[1]
 
 
-def train(docs: DataFrame, v: Vocabulary, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """docs needs text; every text is read once, in the round that the hash of the text says."""
-    weights = start_weights(v)
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    draw, low = F.pmod(F.xxhash64("text"), F.lit(1000)), 0.0
+def train(encoded: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """encoded needs order and symbols, of training texts; every text is read once, in the round that its hash says."""
+    rows = hashed_rows(v.tokens)
+    weights = start_weights(v, rows)
+    draw, low = F.pmod(F.col("order"), F.lit(1000)), 0.0
     for k, share in enumerate(ROUNDS):
-        part = docs.filter((draw >= int(round(1000 * low))) & (draw < int(round(1000 * (low + share))))).select(F.col("text").cast("binary"))
-        learners = LEARNERS_PER_CORE * cores
-        found = part.coalesce(learners).mapInArrow(_learn(lexicon, weights, RATE / (k + 1)), "block int, part int, w binary, met binary")
+        part = encoded.filter((draw >= int(round(1000 * low))) & (draw < int(round(1000 * (low + share)))))
+        learners = max(1, round(share * v.tokens / (TOKENS_PER_ROW * rows)))
+        dealt = part.groupBy(F.pmod(F.xxhash64("order", F.lit(k)), F.lit(learners)).cast("int").alias("learner"))
+        found = dealt.applyInArrow(_learn(weights, RATE / (k + 1)), LEARNT)
         weights = average(found, max(1, math.isqrt(learners)), weights)
         low += share
     return weights
@@ -303,24 +334,29 @@ def train(docs: DataFrame, v: Vocabulary, lexicon: Lexicon) -> tuple[np.ndarray,
 
 def token_logs(weights: tuple[np.ndarray, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     """log10 of P(class) for each token, times P(token | class) for head tokens."""
+    rows = len(weights[0]) - PAIR_ROW - 1
     all_s, all_1, all_2, all_3 = history(docs)
     out = np.empty(len(all_s))
-    for at in range(0, len(all_s), BATCH):
-        s, p1, p2, p3 = (x[at : at + BATCH] for x in (all_s, all_1, all_2, all_3))
+    for at in range(0, len(all_s), SCORED_AT_ONCE):
+        s, p1, p2, p3 = (x[at : at + SCORED_AT_ONCE] for x in (all_s, all_1, all_2, all_3))
         top = s < HEAD
-        z, _, total = log_softmax(weights[0], class_features(p1, p2, p3), CLASS_ROWS[-1] - 1)
+        z, _, total = log_softmax(weights[0], class_features(p1, p2, p3, rows), PAIR_ROW + rows)
         logs = (z[np.arange(len(s)), np.where(top, s // WIDTH, s - HEAD + TOPS)] - np.log(total)).astype(np.float64)
         if top.any():
-            z, _, total = log_softmax(weights[1], word_features(p1[top], p2[top], s[top] // WIDTH), None)
+            z, _, total = log_softmax(weights[1], word_features(p1[top], p2[top], s[top] // WIDTH, rows), None)
             logs[top] += z[np.arange(len(z)), s[top] % WIDTH] - np.log(total)
-        out[at : at + BATCH] = logs
+        out[at : at + SCORED_AT_ONCE] = logs
     return out * LOG10
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, head_base double, head_score double, words array<binary>, times array<int>"
+ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, head_base double, tail_score double, symbols binary, words array<binary>, times array<int>"
+#: Tokens of a text, or of many short ones, whose history is laid out at a time.
+LAID_OUT = 1 << 20
+
 
+def _encode(lexicon: Lexicon):
+    """Everything about a text that needs its words: counts, base score, the part of the score inside tail classes."""
 
-def _score(lexicon: Lexicon, weights: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -336,19 +372,38 @@ def _score(lexicon: Lexicon, weights: tuple[np.ndarray, np.ndarray]):
                 continue
             flat = np.concatenate(ranks)
             cuts = np.cumsum([0] + [len(r) for r in ranks[:-1]])
-            logs = token_logs(weights, [lexicon.symbol[r] for r in ranks])
             known = flat >= 0
             base = np.where(known, lexicon.log_counts[np.maximum(flat, 0)], 0.0)
-            tail = lexicon.symbol[flat] - HEAD
-            inside = np.where(tail >= 0, base - lexicon.log_tail[np.maximum(tail, 0)], 0.0)
+            symbols = lexicon.symbol[flat]
+            inside = np.where(symbols >= HEAD, base - lexicon.log_tail[np.maximum(symbols - HEAD, 0)], 0.0)
             sums = lambda x: np.add.reduceat(x, cuts)
             columns = [
                 pa.array(np.arange(uid, uid + len(ranks))), batch.column(0), batch.column(1), pa.array([len(r) for r in ranks], pa.int64()),
-                pa.array(sums((known & lexicon.known[np.maximum(flat, 0)]).astype(np.int64))), pa.array(sums(base)), pa.array(sums(logs + inside)),
+                pa.array(sums((known & lexicon.known[np.maximum(flat, 0)]).astype(np.int64))), pa.array(sums(base)), pa.array(sums(inside)),
+                pa.array([x.tobytes() for x in np.split(symbols.astype(np.uint16), cuts[1:])], pa.binary()),
                 pa.array([list(c.keys()) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int32())),
             ]
             uid += len(ranks)
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
+
+    return run
+
+
+def _scores(weights: tuple[np.ndarray, np.ndarray]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = [_symbols(x) for x in batch.column(1).to_pylist()]
+            out, at = [], 0
+            while at < len(docs):
+                till, held = at, 0
+                while till < len(docs) and (till == at or held + len(docs[till]) <= LAID_OUT):
+                    held += len(docs[till])
+                    till += 1
+                logs = token_logs(weights, docs[at:till])
+                out.append(np.add.reduceat(logs, np.cumsum([0] + [len(d) for d in docs[at : till - 1]])))
+                at = till
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["uid", "score"])
 
     return run
 
@@ -357,22 +412,21 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, held_out. Learns from the rows that aren't held out and scores all:
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     small_batches(docs.sparkSession)
-    training = docs.filter("NOT held_out")
-    counts = materialize(word_counts(training), "lm-counts")
+    counts = materialize(word_counts(docs.filter("NOT held_out")), "lm-counts")
     v = Vocabulary(counts)
     lexicon = Lexicon(v)
-    weights = train(training, v, lexicon)
-    scored = docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("binary")).mapInArrow(_score(lexicon, weights), SCORED)
-    scored = materialize(scored, "lm-scored")
-    rare = scored.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    encoded = materialize(docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("binary")).mapInArrow(_encode(lexicon), ENCODED), "lm-encoded")
+    weights = train(encoded.filter("NOT held_out").select(F.xxhash64("doc_id", "symbols").alias("order"), "symbols"), v)
+    model = encoded.select("uid", "symbols").mapInArrow(_scores(weights), "uid long, score double")
+    rare = encoded.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(v.rest, "word").groupBy("uid").agg(F.sum("times").alias("found"), F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("logs"))
     n_rare = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
-    out = scored.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "head_base", "head_score", n_rare.alias("rare")).join(found, "uid", "left")
+    out = encoded.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "head_base", "tail_score", n_rare.alias("rare")).join(model, "uid").join(found, "uid", "left")
     known = F.coalesce("found", F.lit(0))
     logs = F.coalesce("logs", F.lit(0.0)) + (F.col("rare") - known) * math.log10(0.5)
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + logs - F.col("n_tokens") * math.log10(v.tokens + 0.5 * (v.types + 1))).alias("base_score"), (F.col("head_score") + logs).alias("score"),
+        (F.col("head_base") + logs - F.col("n_tokens") * math.log10(v.tokens + 0.5 * (v.types + 1))).alias("base_score"), (F.col("score") + F.col("tail_score") + logs).alias("score"),
     )
 
 

@@ -99,6 +99,42 @@ def test_lm(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in none)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_lm_gains_on_held_out_texts_whatever_the_cores(spark):
+    """The model beats the base by at least 0.22 log10 a token on texts it did not learn from, and scores do not depend on
+    how the input is split or how many partitions a shuffle has."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).alias("held_out"))
+    rows = {r.doc_id: r for r in lm.score_texts(d).collect()}
+    held = [r for r in rows.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) >= 0.22 * sum(r.n_tokens for r in held)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = lm.score_texts(d.repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(math.isclose(r.score, rows[r.doc_id].score, rel_tol=1e-9) for r in again) and len(again) == len(rows)
+
+
+def test_lm_model_matches_a_plain_one():
+    """The score of a text, token by token, from the weights: features, classes and words summed in plain Python."""
+    rng = np.random.default_rng(3)
+    rows = 64
+    classes, inside = rng.normal(size=(lm.PAIR_ROW + rows + 1, lm.CLASSES)).astype(np.float32), rng.normal(size=(lm.NEAR_ROW + rows + rows // 2, lm.WIDTH)).astype(np.float32)
+    text = rng.integers(0, lm.BEFORE, 60)
+    got = lm.token_logs((classes, inside), [text[:20], text[20:]])
+    for d, at in ((text[:20], 0), (text[20:], 20)):
+        for k, s in enumerate(d.tolist()):
+            p1, p2, p3 = (int(d[k - j]) if k >= j else lm.BEFORE for j in (1, 2, 3))
+            z = classes[p1].astype(float) + classes[lm.SYMBOLS + p2] + classes[2 * lm.SYMBOLS + p3] + classes[lm.PAIR_ROW + ((p1 * 1_000_003 + p2) * 2_654_435_761 >> 16) % rows] + classes[-1]
+            c = s // lm.WIDTH if s < lm.HEAD else s - lm.HEAD + lm.TOPS
+            want = z[c] - math.log(sum(math.exp(x) for x in z))
+            if s < lm.HEAD:
+                y = inside[c].astype(float) + inside[lm.NEAR_ROW + ((p1 * 10_007 + c) * 2_654_435_761 >> 16) % rows] + inside[lm.NEAR_ROW + rows + ((p2 * 20_011 + c) * 2_654_435_761 >> 16) % (rows // 2)]
+                want += y[s % lm.WIDTH] - math.log(sum(math.exp(x) for x in y))
+            assert math.isclose(got[at + k], want / math.log(10), rel_tol=1e-4)
+
+
 def test_lm_is_a_distribution():
     """Over all classes, and over the words of each class, probabilities sum to one."""
     v = type("V", (), {})()
@@ -108,7 +144,7 @@ def test_lm_is_a_distribution():
     rng = np.random.default_rng(1)
     classes += rng.normal(size=classes.shape).astype(np.float32)
     p = [rng.integers(0, lm.SYMBOLS, 50) for _ in range(3)]
-    z, e, total = lm.log_softmax(classes, lm.class_features(*p), lm.CLASS_ROWS[-1] - 1)
+    z, e, total = lm.log_softmax(classes, lm.class_features(*p, lm.LEAST_ROWS), lm.PAIR_ROW + lm.LEAST_ROWS)
     assert np.allclose((e / total[:, None]).sum(axis=1), 1)
     docs_ = [np.array([k, 5, 7]) for k in range(lm.HEAD + lm.TAILS)]
     first = np.array([lm.token_logs((classes, inside), [d])[0] for d in docs_])
