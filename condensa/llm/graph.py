@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +11,24 @@ from .common import discard, materialize
 from .exact import lookup_join
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """edges (u, v) with m, the least v of each u. Hubs are joined by broadcast, see exact.py."""
+def _with_least(edges: DataFrame, total: int, use: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """use(edges (u, v) with m, the least v of each u), written. Hubs are joined by broadcast, see exact.py."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("group_size")).persist()
-    return lookup_join(edges, least, ["u"], total)
+    out = materialize(use(lookup_join(edges, least, ["u"], total)).distinct(), tag)
+    least.unpersist()
+    return out
 
 
 def large_star(edges: DataFrame, total: int) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    found = _with_least(both, 2 * total).filter("v > u")
-    return found.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    return _with_least(both, 2 * total, lambda x: x.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")), "large-star")
 
 
 def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them. All edges point down (u > v)."""
-    found = _with_least(edges, total)
-    others = found.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.unionByName(found.select("u", F.col("m").alias("v"))).distinct()
+    others = lambda x: x.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(edges, total, lambda x: others(x).unionByName(x.select("u", F.col("m").alias("v"))), "small-star")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,8 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     before = mark(edges)
     while before.n:
-        after_large = materialize(large_star(edges, before.n), "large-star")
-        after_small = materialize(small_star(after_large, before.n), "small-star")
+        after_large = large_star(edges, before.n)
+        after_small = small_star(after_large, before.n)
         discard(edges)
         discard(after_large)
         edges, after = after_small, mark(after_small)

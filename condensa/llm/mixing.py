@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hex32, materialize, small_batches, table, unused
+from .common import WORD, hex32, materialize, small, small_batches, table, unused
 
 OFFSET_BITS = 2**32
 
@@ -85,16 +85,25 @@ def sample_copies(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tu
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix") -> DataFrame:
     """The mixed corpus itself: each document as many times as it is taken, with the columns of docs.
 
-    Rows that agree in all columns are told apart by a running number, so repeated rows keep their own draws."""
+    Texts are shuffled once, to their number of copies. Rows that agree in all columns are told apart by a running number, so
+    repeated rows keep their own draws; only such rows are numbered."""
     small_batches(docs.sparkSession)
     fp, j, copy, i, f, k, times = unused(docs, "_fp", "_j", "_copy", "_i", "_f", "_k", "_times")
     named = docs.withColumn(fp, F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]))
-    same = Window.partitionBy("doc_id", fp).orderBy(F.lit(0))
     copies = sample_copies(named.select("doc_id", "source", "text", F.col(fp).alias("_fp")), weights, share, most, seed, ("doc_id", "_fp"))
-    copies = copies.select(F.col("doc_id").alias(i), F.col("_fp").alias(f), F.col("copies").alias(times)).withColumn(k, F.row_number().over(Window.partitionBy(i, f).orderBy(times)))
-    numbered = named.withColumn(j, F.row_number().over(same))
-    out = numbered.join(copies, numbered["doc_id"].eqNullSafe(F.col(i)) & (F.col(fp) == F.col(f)) & (F.col(j) == F.col(k)))
-    return out.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
+    copies = materialize(copies.select(F.col("doc_id").alias(i), F.col("_fp").alias(f), F.col("copies").alias(times)), "mix-copies")
+    again = materialize(copies.groupBy(i, f).agg(F.count(F.lit(1)).alias(k)).filter(F.col(k) > 1).drop(k), "mix-repeated")
+    same = named["doc_id"].eqNullSafe(F.col(i)) & (named[fp] == F.col(f))
+    if again.isEmpty():
+        out = named.join(copies.filter(F.col(times) > 0), same)
+    else:
+        pair = copies[i].eqNullSafe(again[i]) & (copies[f] == again[f])
+        out = named.join(copies.join(small(again), pair, "left_anti").filter(F.col(times) > 0), same)
+        numbered = named.join(small(again), same, "left_semi").withColumn(j, F.row_number().over(Window.partitionBy("doc_id", fp).orderBy(F.lit(0))))
+        draws = copies.join(small(again), pair, "left_semi").withColumn(k, F.row_number().over(Window.partitionBy(i, f).orderBy(times)))
+        more = numbered.join(draws, numbered["doc_id"].eqNullSafe(F.col(i)) & (numbered[fp] == F.col(f)) & (F.col(j) == F.col(k))).filter(F.col(times) > 0)
+        out = out.select(*docs.columns, times).unionByName(more.select(*docs.columns, times))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
