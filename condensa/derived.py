@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to a few tasks per core: for work that is heavy per text, on tables of few files or uneven lengths."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _joined(rows: DataFrame, key: Column, line: Column, order: list[Column], glue: str = "\n", head: str = "", tail: str = "") -> DataFrame:
     said = rows.groupBy(key.cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], line.alias("line")))).alias("x"))
     return said.select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("x", lambda r: r.line), glue), F.lit(tail)).alias("content"))

@@ -149,6 +149,10 @@ def max_int_field(body: Column, field: str) -> Column:
     return F.coalesce(F.array_max(F.transform(found, lambda x: F.try_to_number(x, F.lit("9" * 18)).cast("long"))), F.lit(0).cast("long"))
 
 
+def or_dash(text: Column) -> Column:
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit("-"))
+
+
 def short_session(session: Column) -> Column:
     return F.when(F.length(session) == 0, "-").otherwise(F.substring(session, 1, 8))
 

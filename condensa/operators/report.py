@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 EVENTS = "ts long, session string, tool string, strategy string, id long, in_tokens long, out_tokens long"
 RETRIEVE = "retrieve"
 WRITE_RATE, READ_RATE = 1.25, 0.1
@@ -100,6 +102,15 @@ def price_difference(log: DataFrame, prices: DataFrame) -> DataFrame:
     return both.select(*log.columns, F.round(cost("r") - cost("s"), 6).alias("saved_dollars"))
 
 
+def request_line() -> Column:
+    """One JSON line of a served request, never with its texts: from tier, requested, used, reason, signals, status, latency_ms,
+    ctx_tokens, in_tokens, out_tokens and session. Without a used model, the requested one ran."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    ran = T.or_dash(F.coalesce(F.nullif("used", F.lit("")), F.col("requested")))
+    numbers = ("status", "latency_ms", "ctx_tokens", "in_tokens", "out_tokens")
+    return F.to_json(F.struct(text("tier"), T.or_dash(F.col("requested")).alias("requested"), ran.alias("model"), text("reason"), text("signals"), *numbers, T.short_session(F.coalesce("session", F.lit(""))).alias("session")))
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """An event log of JSON lines; bad lines are left out."""
     return spark.read.schema(EVENTS).option("mode", "DROPMALFORMED").json(path)

@@ -12,7 +12,7 @@ from .operators import gate as G
 from .operators import jsontable as J
 from .operators import logs as L
 from .operators.detect import detect, modal_columns
-from .operators.reduce import reduce_texts, with_inputs
+from .operators.reduce import reduce_texts, with_hint, with_inputs
 from .operators import report as RP
 from .operators import scoring as O
 from .operators import store as ST
@@ -45,11 +45,31 @@ def token_estimate(spark, sf_dir) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
+_HAS = lambda name: f"regexp_matches(text, {sql(name)})"
+_ANY_SPACE = r"[ \t\n\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRUCTURED = rf"""((regexp_matches(said, '^[\{{\[]') AND (json_valid(said) OR regexp_matches(said, {sql("json_shape")}) OR (length(said) - length(replace(said, '":', ''))) / 2 >= 3)) OR (starts_with(said, '<') AND regexp_matches(said, {sql("gate_markup")})))"""
+_POINTS = [" + ".join(f"{_HAS(n)}::INTEGER" for n in names) for names in (("code_fence", "diff_sig", "js_assign", "jsx"), ("shell", "path_ext", "code_syntax"))]
+
+
+@query(rf"""WITH x AS (SELECT doc_id, text FROM documents UNION ALL SELECT page_id + 1000000000, html FROM pages
+   UNION ALL SELECT p_partkey + 2000000000, CASE WHEN p_size < 15 THEN '```' || repeat('git add ' || p_name || ' now;' || chr(10), p_size::INTEGER) WHEN p_size < 30 THEN repeat(p_partkey || ' # ' || p_size || ' ', 30) ELSE repeat('src/' || p_partkey || '.x:' || p_size || ': ' || p_type || chr(10), 9) END FROM part),
+ t AS (SELECT doc_id, text, ltrim(text, ' ' || chr(9) || chr(10) || chr(13)) AS said, CASE WHEN octet_length(encode(text)) <= 4000 THEN length(text) WHEN octet_length(encode(left(text, 4000))) = 4000 THEN 4000
+   ELSE list_max(list_filter(range(1000, 4001), lambda n: octet_length(encode(left(text, n))) <= 4000)) END AS n FROM x),
+ c AS (SELECT *, CASE WHEN octet_length(encode(text)) <= 4000 THEN 0 ELSE 4000 - octet_length(encode(left(text, n))) END AS cut, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{T.BLANK[1:-1]}]'))[1:50] AS lines FROM t),
+ r AS (SELECT *, {T.tokens_sql('text')} AS in_tokens, CASE WHEN length(text) = 0 THEN 1.0::DOUBLE ELSE (n - length(regexp_replace(regexp_replace(left(text, n), '\p{{L}}', '', 'g'), '{_ANY_SPACE}', '', 'g')))::DOUBLE / (n + cut) END AS ratio,
+   2 * ({_POINTS[0]}) AS strong, {_POINTS[1]} AS weak, len(lines) > 0 AND len(list_filter(lines, lambda l: regexp_matches(l, {sql("gate_grep")})))::DOUBLE / len(lines) >= 0.5 AS grep FROM c),
+ v AS (SELECT doc_id, in_tokens, CASE WHEN {_STRUCTURED} THEN 'content_structural' WHEN strong >= 2 AND NOT (octet_length(encode(text)) >= 2000 AND ratio >= 0.80) THEN 'heuristic' WHEN strong + weak >= 2 AND ratio < 0.78 THEN 'heuristic'
+   WHEN {_HAS("log_definite")} OR grep THEN 'structural' WHEN ratio < 0.55 THEN 'low_prose_ratio' ELSE 'default' END AS gate_signal FROM r)
+ SELECT doc_id, in_tokens, CASE WHEN in_tokens < 64 THEN 'skip' ELSE 'compress' END AS gate_action, CASE WHEN gate_signal = 'default' THEN 'prose' ELSE 'code_structured' END AS gate_klass, gate_signal, CASE WHEN in_tokens < 64 THEN 'too_short' ELSE '' END AS gate_reason FROM v""")
 def prose_gate(spark, sf_dir) -> DataFrame:
+    """The gate over documents, pages, and made commands, numbers and search results."""
     docs = D.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     pages = D.table(spark, sf_dir, "pages").select((F.col("page_id") + 10**9).alias("doc_id"), F.col("html").alias("content"))
-    return G.gate(with_inputs(docs.unionByName(pages))).select("doc_id", "in_tokens", "gate_action", "gate_klass", "gate_signal", "gate_reason")
+    text = lambda *x: F.concat(*[F.lit(c) if c[:2] != "p_" else F.col(c).cast("string") for c in x])
+    lines = F.concat(F.lit("```"), F.repeat(text("git add ", "p_name", " now;\n"), F.col("p_size"))), F.repeat(text("p_partkey", " # ", "p_size", " "), F.lit(30)), F.repeat(text("src/", "p_partkey", ".x:", "p_size", ": ", "p_type", "\n"), F.lit(9))
+    made = F.when(F.col("p_size") < 15, lines[0]).when(F.col("p_size") < 30, lines[1]).otherwise(lines[2])
+    parts = D.table(spark, sf_dir, "part").select((F.col("p_partkey") + 2 * 10**9).alias("doc_id"), made.alias("content"))
+    return G.gate(with_inputs(D.spread(docs.unionByName(pages).unionByName(parts)))).select("doc_id", "in_tokens", "gate_action", "gate_klass", "gate_signal", "gate_reason")
 
 
 @query("""SELECT * FROM (SELECT 'json' AS made, 'json' AS detected, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'log', 'log', count(DISTINCT user_id) FROM events
@@ -170,7 +190,7 @@ def mixed(spark, sf_dir) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("doc_id", F.concat_ws(":", "made", "doc_id"))
+    return D.spread(out.withColumn("doc_id", F.concat_ws(":", "made", "doc_id")))
 
 
 @query()
@@ -267,17 +287,14 @@ BANKS = """b AS (SELECT label, list(embedding ORDER BY vec_id) AS bank FROM embe
  s AS (SELECT vec_id, label, 0.75 * ds[1] + 0.25 * list_avg(ds[1:2]) AS score FROM d)"""
 
 
-def banks(spark, sf_dir) -> DataFrame:
-    e = D.table(spark, sf_dir, "embeddings")
-    bank = lambda n: e.filter(F.col("label") == n).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("x")).select(F.transform("x", lambda r: r.embedding).alias(f"bank{n}"))
-    # candidate banks are part of a policy and capped by it; here they are two labels of the sample table
-    return e.crossJoin(F.broadcast(bank(0))).crossJoin(F.broadcast(bank(1)))
-
-
 @query(f"WITH {BANKS} SELECT vec_id, round(max(CASE WHEN label = 0 THEN score END), 6) AS score, round(max(CASE WHEN label = 0 THEN score END) - max(CASE WHEN label = 1 THEN score END), 6) AS margin FROM s GROUP BY vec_id")
 def bank_scores(spark, sf_dir) -> DataFrame:
-    v = F.col("embedding")
-    return banks(spark, sf_dir).select("vec_id", F.round(O.bank_score(v, F.col("bank0")), 6).alias("score"), F.round(O.complexity_margin(v, F.col("bank0"), F.col("bank1")), 6).alias("margin"))
+    """All vectors against two banks, which are two labels of the same table."""
+    e = D.table(spark, sf_dir, "embeddings")
+    out = e
+    for n in (0, 1):
+        out = O.with_bank_score(out, "embedding", e.filter(F.col("label") == n).select("embedding"), f"score{n}")
+    return out.select("vec_id", F.round("score0", 6).alias("score"), F.round(F.col("score0") - F.col("score1"), 6).alias("margin"))
 
 
 @query("""WITH x AS (SELECT o_orderkey, list_value('math', 'law', 'other') AS k, list_value((o_orderkey % 7)::DOUBLE, (o_orderkey % 5)::DOUBLE, (o_orderkey % 3)::DOUBLE) AS v FROM orders),
@@ -365,17 +382,17 @@ def compounding_by_reads(spark, sf_dir) -> DataFrame:
     return RP.compounding(caching_cost(spark, sf_dir))
 
 
-@query("""WITH a AS (SELECT doc_id::VARCHAR AS name, substr(sha256(text), 1, 12) AS sha, 'prose' AS detected, CASE WHEN doc_id % 5 = 0 THEN 'compressed' ELSE 'skipped' END AS action, trunc((doc_id % 100)::DOUBLE / 100 * 1000) / 1000 AS reduction FROM documents WHERE doc_id % 7 <> 0),
- b AS (SELECT doc_id::VARCHAR AS name, substr(sha256(CASE WHEN doc_id % 13 = 0 THEN text || 'x' ELSE text END), 1, 12) AS sha, 'prose' AS detected, CASE WHEN doc_id % 5 = 0 OR doc_id % 11 = 0 THEN 'compressed' ELSE 'skipped' END AS action, (doc_id % 103)::DOUBLE / 100 AS reduction FROM documents WHERE doc_id % 9 <> 0)
+@query("""WITH a AS (SELECT doc_id::VARCHAR AS name, substr(sha256(doc_id || ':' || lang), 1, 12) AS sha, 'prose' AS detected, CASE WHEN doc_id % 5 = 0 THEN 'compressed' ELSE 'skipped' END AS action, trunc((doc_id % 100)::DOUBLE / 100 * 1000) / 1000 AS reduction FROM documents),
+ b AS (SELECT (doc_id + 1)::VARCHAR AS name, substr(sha256((doc_id + 1) || ':' || lang), 1, 12) AS sha, 'prose' AS detected, CASE WHEN (doc_id + 1) % 5 = 0 OR doc_id % 11 = 0 THEN 'compressed' ELSE 'skipped' END AS action, ((doc_id + 1) % 103)::DOUBLE / 100 AS reduction FROM documents)
  SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'missing' WHEN b.name IS NULL THEN 'new' WHEN a.sha <> b.sha THEN 'changed_input' WHEN a.action <> b.action THEN 'changed_verdict' WHEN a.reduction < b.reduction - 0.02::DOUBLE THEN 'worse' ELSE 'ok' END AS status, a.reduction AS reduction, b.reduction AS base_reduction
  FROM a FULL OUTER JOIN b ON a.name = b.name""")
 def baseline_regression(spark, sf_dir) -> DataFrame:
-    d = D.table(spark, sf_dir, "documents")
-    name, part = F.col("doc_id").cast("string").alias("name"), lambda m: (F.col("doc_id") % m).cast("double") / 100
+    """All documents against all documents under the next id, so that some inputs and verdicts change."""
+    d, k = D.table(spark, sf_dir, "documents"), F.col("doc_id")
     verdict = lambda c: F.when(c, "compressed").otherwise("skipped").alias("action")
-    sha = lambda c: F.substring(F.sha2(c, 256), 1, 12).alias("sha")
-    now = d.filter(F.col("doc_id") % 7 != 0).select(name, sha(F.col("text")), F.lit("prose").alias("detected"), verdict(F.col("doc_id") % 5 == 0), RP.truncated(part(100)).alias("reduction"))
-    base = d.filter(F.col("doc_id") % 9 != 0).select(name, sha(F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))), F.lit("prose").alias("detected"), verdict((F.col("doc_id") % 5 == 0) | (F.col("doc_id") % 11 == 0)), part(103).alias("reduction"))
+    sha = lambda i: F.substring(F.sha2(F.concat(i.cast("string"), F.lit(":"), F.col("lang")), 256), 1, 12).alias("sha")
+    now = d.select(k.cast("string").alias("name"), sha(k), F.lit("prose").alias("detected"), verdict(k % 5 == 0), RP.truncated((k % 100).cast("double") / 100).alias("reduction"))
+    base = d.select((k + 1).cast("string").alias("name"), sha(k + 1), F.lit("prose").alias("detected"), verdict(((k + 1) % 5 == 0) | (k % 11 == 0)), (((k + 1) % 103).cast("double") / 100).alias("reduction"))
     return RP.regressions(now, base)
 
 
@@ -423,12 +440,75 @@ def prose_reduction(spark, sf_dir) -> DataFrame:
     return out.groupBy("detected", "action", "skip_reason").agg(F.count(F.lit(1)).alias("items"), F.sum("in_tokens").alias("in_tokens"), F.sum("out_tokens").alias("out_tokens"))
 
 
-@query()
+@query(rf"""WITH t AS (SELECT doc_id, text, ltrim(text, ' ' || chr(9) || chr(10) || chr(13)) AS said, substr(text, 1, 4000) AS sample FROM (SELECT doc_id, text FROM documents UNION ALL SELECT page_id + 1000000000, html FROM pages
+   UNION ALL SELECT o_orderkey + 2000000000, '{{"order": ' || o_orderkey || ', "open": ' || CASE o_orderstatus WHEN 'O' THEN 'NaN}}' ELSE 'true}}' END FROM orders
+   UNION ALL SELECT p_partkey + 3000000000, CASE WHEN p_size < 20 THEN 'git add ' || p_name || ' now;' WHEN p_size < 40 THEN p_partkey || ' ' || p_size || ' #' ELSE p_name || ' ' || p_type END FROM part)),
+ f AS (SELECT doc_id, text, said, sample, 2 * ({' + '.join(f"{_HAS(n)}::INTEGER" for n in ("code_fence", "diff_sig", "js_assign", "jsx"))}) + {' + '.join(f"{_HAS(n)}::INTEGER" for n in ("shell", "path_ext", "code_syntax"))} AS points FROM t),
+ r AS (SELECT *, CASE WHEN length(text) = 0 THEN 1.0 ELSE length(regexp_replace(regexp_replace(sample, '\p{{L}}', '', 'g'), '{_ANY_SPACE}', '', 'g'))::DOUBLE / length(sample) END AS other FROM f)
+ SELECT doc_id, CASE WHEN signal = 'default' THEN 'prose' ELSE 'code_structured' END AS klass, signal FROM (SELECT doc_id, CASE
+   WHEN (regexp_matches(said, '^[\{{\[]') AND (json_valid(said) OR regexp_matches(said, {sql("json_shape")}) OR (length(said) - length(replace(said, '":', ''))) / 2 >= 3)) OR (starts_with(said, '<') AND regexp_matches(said, {sql("gate_markup")})) THEN 'content_structural'
+   WHEN points >= 2 THEN 'heuristic' WHEN length(text) > 0 AND 1 - other < 0.55 THEN 'low_prose_ratio' ELSE 'default' END AS signal FROM r)""")
 def model_side_gate(spark, sf_dir) -> DataFrame:
-    docs = D.table(spark, sf_dir, "documents")
+    """The model side's gate over documents, pages, small JSON objects, some of them broken, commands, numbers and names."""
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", "text")
+    pages = D.table(spark, sf_dir, "pages").select((F.col("page_id") + 1_000_000_000).alias("doc_id"), F.col("html").alias("text"))
+    key = F.col("o_orderkey")
+    orders = D.table(spark, sf_dir, "orders").select((key + 2_000_000_000).alias("doc_id"), F.concat(F.lit('{"order": '), key.cast("string"), F.lit(', "open": '), F.when(F.col("o_orderstatus") == "O", "NaN}").otherwise("true}")).alias("text"))
+    text = lambda *x: F.concat(*[F.lit(c) if c[:2] != "p_" else F.col(c).cast("string") for c in x])
+    said = F.when(F.col("p_size") < 20, text("git add ", "p_name", " now;")).when(F.col("p_size") < 40, text("p_partkey", " ", "p_size", " #")).otherwise(text("p_name", " ", "p_type"))
+    parts = D.table(spark, sf_dir, "part").select((F.col("p_partkey") + 3_000_000_000).alias("doc_id"), said.alias("text"))
+    out = D.spread(docs.unionByName(pages).unionByName(orders).unionByName(parts)).withColumn("ask", F.when(T.trim_left(F.col("text")).rlike(r"\A[{\[]"), T.trim_left(F.col("text"))))
     none = F.lit(None).cast("string")
-    vote = G.model_gate(F.col("text"), F.lit(None).cast("boolean"), none, none)
-    return docs.select("doc_id", vote.klass.alias("klass"), vote.signal.alias("signal"))
+    vote = G.model_gate(F.col("text"), G.valid_json_udf("ask"), none, none)
+    return out.select("doc_id", vote.klass.alias("klass"), vote.signal.alias("signal"))
+
+
+# What goes back: rebuilt responses, hints, request logs
+
+
+@query(r"""SELECT doc_id, sha256(CASE doc_id % 4 WHEN 0 THEN '{"code": 1.50, "stdout":' || s || ' , "z":[1, 2 ]}' WHEN 1 THEN '{"stdout":"", "result" : ' || s || '}' WHEN 2 THEN '{ "file": {"path":"\u00e9", "content":' || s || '}, "n":1e2 }' ELSE s END) AS rebuilt_sha256,
+ sha256('{"hookSpecificOutput":{"hookEventName":"PostToolUse","updatedToolOutput":' || s || '}}') AS reply_sha256
+ FROM (SELECT doc_id, '"[' || doc_id || '] \"short\"\n"' AS s FROM documents WHERE text <> '')""")
+def tool_rebuild(spark, sf_dir) -> DataFrame:
+    """Documents wrapped as tool responses of each shape, each text swapped for a short one; all else stays as it was."""
+    d = D.table(spark, sf_dir, "documents").filter("text <> ''")
+    said = F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
+    k = F.col("doc_id") % 4
+    shaped = (
+        F.when(k == 0, F.concat(F.lit('{"code": 1.50, "stdout":'), said, F.lit(' , "z":[1, 2 ]}'))).when(k == 1, F.concat(F.lit('{"stdout":"", "result" : '), said, F.lit("}")))
+        .when(k == 2, F.concat(F.lit('{ "file": {"path":"\\u00e9", "content":'), said, F.lit('}, "n":1e2 }'))).otherwise(said)
+    )
+    short = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit('] "short"\n'))
+    out = d.select("doc_id", IO.rebuild_udf(shaped, short).alias("rebuilt"), IO.rebuild_udf(said, short).alias("plain"))
+    return out.select("doc_id", digest(F.col("rebuilt")).alias("rebuilt_sha256"), digest(IO.hook_reply(F.col("plain"))).alias("reply_sha256"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, left(text, (doc_id * 37 % 900)::INTEGER) AS short, doc_id % 3 <> 0 AS lossy FROM documents),
+ h AS (SELECT *, short || chr(10) || '[full output: retrieve 99999999]' AS probe, short || chr(10) || '[full output: retrieve ' || doc_id || ']' AS hinted FROM d),
+ s AS (SELECT *, {T.tokens_sql('text')} AS t0, {T.tokens_sql('probe')} AS t1, {T.tokens_sql('short')} AS t2 FROM h)
+ SELECT doc_id, CASE WHEN lossy AND octet_length(encode(probe)) < octet_length(encode(text)) AND t1 < t0 THEN 'hinted' WHEN octet_length(encode(short)) < octet_length(encode(text)) AND t2 < t0 THEN 'plain' ELSE 'none' END AS kind,
+  sha256(CASE WHEN lossy AND octet_length(encode(probe)) < octet_length(encode(text)) AND t1 < t0 THEN hinted WHEN octet_length(encode(short)) < octet_length(encode(text)) AND t2 < t0 THEN short ELSE '' END) AS output_sha256 FROM s""")
+def replacement_hint(spark, sf_dir) -> DataFrame:
+    """What replaces each document when it is cut to some length: with a hint, without, or nothing."""
+    d = D.table(spark, sf_dir, "documents").withColumn("short", F.substring(F.col("text"), F.lit(1), (F.col("doc_id") * 37 % 900).cast("int")))
+    strategy = F.when(F.col("doc_id") % 3 != 0, "ansi_strip+llmlingua").otherwise("ansi_strip+json_crusher")
+    d = d.withColumn("out", with_hint(F.col("text"), F.col("short"), strategy, alias=F.col("doc_id")))
+    kind = F.when(F.col("out").isNull(), "none").when(F.col("out").endswith("]") & (F.length("out") > F.length("short")), "hinted").otherwise("plain")
+    return d.select("doc_id", kind.alias("kind"), digest(F.coalesce("out", F.lit(""))).alias("output_sha256"))
+
+
+@query("""SELECT event_id, '{"tier":"' || CASE event_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE '' END || '","requested":"' || CASE WHEN event_id % 11 = 0 THEN '-' ELSE 'm' || (event_id % 5) END || '","model":"' ||
+ CASE WHEN event_id % 2 = 0 THEN 's' || (event_id % 7) WHEN event_id % 11 = 0 THEN '-' ELSE 'm' || (event_id % 5) END || '","reason":"' || event_type || '","signals":"","status":200,"latency_ms":' || (event_id % 300) || ',"ctx_tokens":' || (event_id % 9000)
+ || ',"in_tokens":' || (event_id % 500) || ',"out_tokens":' || (event_id % 50) || ',"session":"' || CASE WHEN user_id % 4 = 0 THEN '-' ELSE substr('session-' || user_id, 1, 8) END || '"}' AS line FROM events""")
+def request_log(spark, sf_dir) -> DataFrame:
+    """One line per served request; a request that was passed through ran the model it asked for."""
+    k, text = F.col("event_id"), lambda c: c.cast("string")
+    rows = D.table(spark, sf_dir, "events").select(
+        "event_id", F.when(k % 3 == 0, "small").when(k % 3 == 1, "large").otherwise("").alias("tier"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("m"), text(k % 5))).alias("requested"),
+        F.when(k % 2 == 0, F.concat(F.lit("s"), text(k % 7))).alias("used"), F.col("event_type").alias("reason"), F.lit(None).cast("string").alias("signals"), F.lit(200).alias("status"), (k % 300).alias("latency_ms"),
+        (k % 9000).alias("ctx_tokens"), (k % 500).alias("in_tokens"), (k % 50).alias("out_tokens"), F.when(F.col("user_id") % 4 == 0, "").otherwise(F.concat(F.lit("session-"), text(F.col("user_id")))).alias("session"),
+    )
+    return rows.select("event_id", RP.request_line().alias("line"))
 
 
 @query()

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+from json.decoder import scanstring
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
+_WHITE = re.compile(r"[ \t\r\n]*")
 MIN_BYTES, MAX_EVENT_BYTES = 256, 32 * 2**20
 
 
@@ -26,6 +33,55 @@ def tool_text(response: Column, output: Column) -> Column:
     return F.coalesce(*found, F.nullif(output, F.lit("")))
 
 
+_decoder = json.JSONDecoder()
+
+
+def _members(text: str, at: int) -> dict[str, tuple[int, int]]:
+    """Where the values of the object at a place begin and end, by key; of equal keys the last."""
+    found, at = {}, _WHITE.match(text, at + 1).end()
+    while text[at] != "}":
+        key, at = scanstring(text, at + 1)
+        low = _WHITE.match(text, _WHITE.match(text, at).end() + 1).end()
+        _, high = _decoder.raw_decode(text, low)
+        found[key] = low, high
+        at = _WHITE.match(text, high).end()
+        at = _WHITE.match(text, at + 1).end() if text[at] == "," else at
+    return found
+
+
+def rebuild(response: str | None, text: str) -> str | None:
+    """The response with its text (see tool_text()) swapped for another and all else as it was, byte by byte; null where it has
+    no text."""
+    try:
+        whole = json.loads(response) if response else None
+        if isinstance(whole, str) and whole:
+            return json.dumps(text, ensure_ascii=False)
+        if not isinstance(whole, dict):
+            return None
+        outer = _members(response, _WHITE.match(response, 0).end())
+        for key in ("stdout", "output", "result"):
+            if isinstance(whole.get(key), str) and whole[key]:
+                low, high = outer[key]
+                return response[:low] + json.dumps(text, ensure_ascii=False) + response[high:]
+        file = whole.get("file")
+        if isinstance(file, dict) and isinstance(file.get("content"), str) and file["content"]:
+            low, high = _members(response, outer["file"][0])["content"]
+            return response[:low] + json.dumps(text, ensure_ascii=False) + response[high:]
+    except (ValueError, RecursionError):
+        pass
+    return None
+
+
+@F.pandas_udf(K.StringType())
+def rebuild_udf(responses: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([rebuild(r, t) if t is not None else None for r, t in zip(responses, texts, strict=True)], dtype=object)
+
+
+def hook_reply(updated: Column) -> Column:
+    """The reply that hands back a rebuilt response (JSON)."""
+    return F.concat(F.lit('{"hookSpecificOutput":{"hookEventName":"PostToolUse","updatedToolOutput":'), updated, F.lit("}}"))
+
+
 def hook_events(df: DataFrame, event: str = "content") -> DataFrame:
     """Tool texts of post-use events: session_id, tool_name, text; short and oversized events are left out."""
     raw = F.col(event)
