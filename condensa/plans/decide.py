@@ -10,9 +10,11 @@ statuses, keyed emb:NAME and cplx:NAME; a status is ok, off (disabled) or err.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,36 +158,41 @@ IDLE_SECONDS = 30 * 60
 
 
 def sticky(df: DataFrame, p: Policy, ts: str, session: str = "session_id", order: tuple[str, ...] = ()) -> DataFrame:
-    """Replays decisions in time order per session (an ordered fold over each session's rows): a downgrade by default is held
-    while it is smaller than min_band_jump, keep takes the session's tier, pins and keeps leave the session alone, and a
-    session is forgotten after 30 idle minutes. Rows without a session are decided alone. tier, model and reason change."""
-    ranks = F.create_map(*[x for i, t in enumerate(p.tiers) for x in (F.lit(t["name"]), F.lit(i))])
+    """Replays decisions in time order per session: a downgrade by default is held while it is smaller than min_band_jump,
+    keep takes the session's tier, pins and keeps leave the session alone, and a session is forgotten after 30 idle minutes.
+    Rows without a session are decided alone. tier, model and reason change.
+
+    Sessions are sorted streams of their partition; only the state of the current one is held, however long it is."""
+    ranks = {t["name"]: i for i, t in enumerate(p.tiers)}
     jump = p.session.get("min_band_jump", 0) if p.session.get("sticky") else 0
-    turn = F.struct(F.col(ts).cast("timestamp").alias("ts"), *[F.col(c).cast("string").alias(f"o{i}") for i, c in enumerate(order)], F.col("tier").alias("tier"), F.col("reason").alias("reason"), F.col("source").alias("source"), F.struct(*df.columns).alias("row"))
-    own = F.when(F.length(F.coalesce(F.col(session), F.lit(""))) == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    rows = df.withColumn("_own", own).groupBy(F.col(session).alias("_s"), "_own").agg(F.array_sort(F.collect_list(turn), lambda a, b: F.when(a.ts < b.ts, -1).when(a.ts > b.ts, 1).otherwise(_compare(a, b, len(order)))).alias("turns"))
-    kind = "struct<cur:string,seen:timestamp,out:array<struct<tier:string,reason:string>>>"
-
-    def fold(acc: Column, t: Column) -> Column:
-        live = F.when(acc.seen.isNotNull() & (F.unix_timestamp(t.ts) - F.unix_timestamp(acc.seen) <= IDLE_SECONDS) & (F.length(F.coalesce(F.col("_s"), F.lit(""))) > 0), acc.cur)
-        cur, new = ranks[live], ranks[t.tier]
-        held = (t.source == "default") & F.coalesce((new < cur) & (cur - new < jump), F.lit(False))
-        kept = (t.source == "keep") & live.isNotNull()
-        tier = F.when(held | kept, live).otherwise(t.tier)
-        reason = F.when(held, F.concat(t.reason, F.lit(" sticky:kept"))).when(kept, F.replace(t.reason, F.lit("(no-session→default)"), F.lit(""))).otherwise(t.reason)
-        writes = t.source.isin("route", "default") & (t.tier != "-")
-        return F.struct(F.when(writes, tier).otherwise(live).alias("cur"), F.when(writes | live.isNotNull(), t.ts).otherwise(acc.seen).alias("seen"), F.concat(acc.out, F.array(F.struct(tier.alias("tier"), reason.alias("reason")))).alias("out")).cast(kind)
-
-    none = F.struct(F.lit(None).cast("string").alias("cur"), F.lit(None).cast("timestamp").alias("seen"), F.array().alias("out")).cast(kind)
-    rows = rows.withColumn("_o", F.aggregate("turns", none, fold, lambda a: a.out))
-    flat = rows.select(F.explode(F.arrays_zip(F.col("turns"), F.col("_o"))).alias("z")).select("z.turns.row", "z._o")
-    model = F.coalesce(*[F.when(F.col("_o.tier") == t["name"], F.lit(t["model"])) for t in p.tiers], F.col("row.model"))
-    new = {"tier": F.col("_o.tier"), "reason": F.col("_o.reason"), "model": model}
-    return flat.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in df.columns])
-
-
-def _compare(a: Column, b: Column, n: int) -> Column:
-    out = F.lit(0)
-    for i in reversed(range(n)):
-        out = F.when(a[f"o{i}"] < b[f"o{i}"], -1).when(a[f"o{i}"] > b[f"o{i}"], 1).otherwise(out)
-    return out
+    named = F.length(F.coalesce(F.col(session), F.lit(""))) > 0
+    names = df.columns
+    by = [F.col(session), F.col(ts).cast("timestamp"), *[F.col(c).cast("string") for c in order]]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, cur, seen = None, None, None
+        for batch in batches:
+            tiers, reasons = [], []
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (session, "_at", "tier", "reason", "source"))
+            for s, at, tier, reason, source in zip(*columns, strict=True):
+                if s != who:
+                    who, cur, seen = s, None, None
+                live = cur if seen is not None and at is not None and at - seen <= IDLE_SECONDS else None
+                old, new = ranks.get(live), ranks.get(tier)
+                if source == "default" and old is not None and new is not None and new < old and old - new < jump:
+                    tier, reason = live, f"{reason} sticky:kept"
+                elif source == "keep" and live is not None:
+                    tier, reason = live, reason.replace("(no-session→default)", "")
+                if source in ("route", "default") and tier != "-":
+                    cur, seen = tier, at
+                else:
+                    cur, seen = live, at if live is not None else seen
+                tiers.append(tier)
+                reasons.append(reason)
+            new_columns = {"tier": pa.array(tiers, pa.string()), "reason": pa.array(reasons, pa.string())}
+            yield pa.RecordBatch.from_arrays([new_columns.get(c, batch.column(batch.schema.get_field_index(c))) for c in names], names)
+
+    rows = df.filter(named).withColumn("_at", F.unix_timestamp(F.col(ts).cast("timestamp"))).repartition(F.col(session)).sortWithinPartitions(*by)
+    out = rows.mapInArrow(run, df.schema).unionByName(df.filter(~named))
+    model = F.coalesce(*[F.when(F.col("tier") == t["name"], F.lit(t["model"])) for t in p.tiers], F.col("model"))
+    return out.withColumn("model", model).select(*names)

@@ -148,13 +148,10 @@ def json_types(spark, sf_dir) -> DataFrame:
     return J.types_of(J.cells(D.json_rows(spark, sf_dir)))
 
 
-@query(EAV + " SELECT doc_id, any_value(n_rows) AS n_rows, count(*) AS n_cells, true AS smaller FROM e JOIN n USING (doc_id) GROUP BY doc_id")
+@query(EAV + " SELECT doc_id, any_value(n_rows) AS n_rows, count(*) AS n_cells, true AS smaller, sha256(string_agg(row_idx || '|' || key || '|' || regexp_replace(raw, '^\\{(\"supp\":[0-9]+),(\"status\":.*)\\}$', '{\\2,\\1}'), chr(10) ORDER BY row_idx, key)) AS cells_sha256 FROM e JOIN n USING (doc_id) GROUP BY doc_id")
 def json_roundtrip(spark, sf_dir) -> DataFrame:
-    docs = D.json_rows(spark, sf_dir).withColumn("enc", J.encode_udf("content"))
-    docs = docs.withColumns({"dec": J.decode_udf("enc"), "min": J.minify_udf("content")})
-    back = F.coalesce("dec", F.from_json("min", "array<map<string,string>>"))
-    cells = F.aggregate(back, F.lit(0).cast("long"), lambda a, r: a + F.size(r))
-    return docs.select("doc_id", F.size(back).cast("long").alias("n_rows"), cells.alias("n_cells"), (F.octet_length("enc") < F.octet_length("content")).alias("smaller"))
+    """Every raw cell of the arrays comes back from their encoding."""
+    return D.json_rows(spark, sf_dir).select("doc_id", J.round_trip_udf("content").alias("x")).select("doc_id", "x.*")
 
 
 @query(f"""WITH d AS ({D.SQL['terminals']}) SELECT doc_id, sha256(regexp_replace(content, '{re2("ansi")}', '', 'g')) AS plain_sha256,
@@ -265,6 +262,26 @@ def session_sticky(spark, sf_dir) -> DataFrame:
     return sticky(rows, p, "at", order=("doc_id",)).select("doc_id", "session_id", "tier", "reason")
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_id, ts, CASE WHEN user_id % 5 = 0 THEN '' ELSE 'u' || user_id % 40 END AS session, CASE event_id % 7 WHEN 0 THEN '-' WHEN 1 THEN 'small' WHEN 2 THEN 'small' WHEN 3 THEN 'mid' WHEN 4 THEN 'mid' ELSE 'large' END AS tier,
+   CASE event_id % 5 WHEN 0 THEN 'route' WHEN 1 THEN 'keep' WHEN 2 THEN 'pin' ELSE 'default' END AS source, 'r→keep(no-session→default)' AS reason, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 2 END AS new FROM events),
+ d AS (SELECT *, floor(epoch(ts)) AS sec, row_number() OVER (PARTITION BY session ORDER BY ts, event_id::VARCHAR) AS k FROM e WHERE session <> ''),
+ f AS (SELECT event_id, session, k, tier, reason, CASE WHEN source IN ('route', 'default') AND tier <> '-' THEN tier END AS cur, CASE WHEN source IN ('route', 'default') AND tier <> '-' THEN sec END AS seen FROM d WHERE k = 1
+  UNION ALL SELECT event_id, session, k, CASE WHEN held OR kept THEN live ELSE tier END, CASE WHEN held THEN reason || ' sticky:kept' WHEN kept THEN 'r→keep' ELSE reason END,
+   CASE WHEN source IN ('route', 'default') AND tier <> '-' THEN CASE WHEN held OR kept THEN live ELSE tier END ELSE live END, CASE WHEN (source IN ('route', 'default') AND tier <> '-') OR live IS NOT NULL THEN sec ELSE seen END
+  FROM (SELECT *, source = 'default' AND coalesce(new < old AND old - new < 2, false) AS held, source = 'keep' AND live IS NOT NULL AS kept
+   FROM (SELECT *, CASE live WHEN 'small' THEN 0 WHEN 'mid' THEN 1 WHEN 'large' THEN 2 END AS old
+    FROM (SELECT d.*, f.seen, CASE WHEN d.sec - f.seen <= 1800 THEN f.cur END AS live FROM f JOIN d ON d.session = f.session AND d.k = f.k + 1))))
+ SELECT event_id, tier, reason FROM f UNION ALL SELECT event_id, tier, reason FROM e WHERE session = ''""")
+def sticky_replay(spark, sf_dir) -> DataFrame:
+    """Made decisions of every kind, replayed per session; rows without a session stay as they are."""
+    k = F.col("event_id")
+    tier = F.when(k % 7 == 0, "-").when((k % 7).isin(1, 2), "small").when((k % 7).isin(3, 4), "mid").otherwise("large")
+    source = F.when(k % 5 == 0, "route").when(k % 5 == 1, "keep").when(k % 5 == 2, "pin").otherwise("default")
+    session = F.when(F.col("user_id") % 5 == 0, "").otherwise(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")))
+    rows = D.table(spark, sf_dir, "events").select("event_id", "ts", session.alias("session_id"), tier.alias("tier"), source.alias("source"), F.lit("r→keep(no-session→default)").alias("reason"), F.lit("m").alias("model"))
+    return sticky(rows, loads(POLICY), "ts", order=("event_id",)).select("event_id", "tier", "reason")
+
+
 @query("SELECT conv_id AS doc_id, CASE conv_id % 3 WHEN 0 THEN 200000 ELSE 200000 END::INTEGER AS max_context, conv_id % 3 = 0 AS thinking FROM conversations GROUP BY conv_id")
 def caps_lookup(spark, sf_dir) -> DataFrame:
     model = F.get_json_object("content", "$.model")
