@@ -125,7 +125,7 @@ def log_omissions(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_kept", "n_omitted", digest(F.col("output")).alias("output_sha256"))
 
 
-EAV = """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS row_idx, * FROM lineitem),
+EAV = """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT || '.50,', l_returnflag, l_linestatus) - 1 AS row_idx, * FROM lineitem),
 e AS (SELECT doc_id, row_idx, 'part' AS key, l_partkey::VARCHAR AS raw, 'int' AS kind FROM r UNION ALL SELECT doc_id, row_idx, 'qty', l_quantity::BIGINT || '.50', 'float' FROM r
   UNION ALL SELECT doc_id, row_idx, 'note', '"n' || l_linenumber || '"', 'string' FROM r WHERE l_linenumber % 2 = 0 UNION ALL SELECT doc_id, row_idx, 'flag', '"' || l_returnflag || '"', 'string' FROM r
   UNION ALL SELECT doc_id, row_idx, 'meta', '{"supp":' || l_suppkey || ',"status":"' || l_linestatus || '"}', 'json' FROM r UNION ALL SELECT doc_id, row_idx, 'kind', '"line"', 'string' FROM r),
