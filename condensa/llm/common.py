@@ -27,6 +27,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def small_pages(spark: SparkSession) -> None:
+    """Lets Parquet's writer compare a page with its size limit from the first row on, not only after 100 rows: of large rows,
+    100 are a page of many megabytes, which is compressed in one piece outside the heap."""
+    spark.conf.set("parquet.page.size.row.check.min", "1")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,7 +3,8 @@
 Every task tokenises its documents, splits each into pieces of at most seq_len tokens (pieces in order give the document
 back, token for token), and packs the pieces block by block: pieces in decreasing length, each put into the fullest row
 that still holds it. A segment tree over free capacities (0 .. seq_len) finds that row in log(seq_len) steps. A block
-is a bounded number of tokens, so memory doesn't grow with the input, and nothing is shuffled.
+is a bounded number of tokens, so memory doesn't grow with the input, and nothing is shuffled. A row is most of a
+megabyte, so Parquet's writer is told to look at the size of its pages after each row, see small_pages().
 
 A result row is one id matrix: ids (rows x seq_len, little-endian, row-major; pad where no segment lies), the cumulative
 segment lengths cu_seqlens (per matrix, flat offsets; the padding at the end of a row is a segment with doc index -1),
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, small_pages, table
 
 SEQ_LEN, MATRIX_ROWS, BLOCK_TOKENS = 2048, 64, 2_000_000
 SCHEMA = "part int, matrix int, n_rows int, seq_len int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<bigint>, pieces array<int>, starts array<bigint>"
@@ -175,6 +176,7 @@ def _pack(seq_len: int, matrix_rows: int, block_tokens: int, encoder):
 def pack(docs: DataFrame, seq_len: int = SEQ_LEN, matrix_rows: int = MATRIX_ROWS, block_tokens: int = BLOCK_TOKENS, encoder=tiktoken_encoder) -> DataFrame:
     """docs needs doc_id and text. Result: see SCHEMA and the head of this module; (part, matrix) names a matrix."""
     small_batches(docs.sparkSession)
+    small_pages(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(seq_len, matrix_rows, block_tokens, encoder), SCHEMA)
 
 

@@ -420,6 +420,25 @@ def test_packing_loses_nothing(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_writes_small_pages(spark, tmp_path):
+    """A matrix is most of a megabyte; the pages of a written file stay near Parquet's limit of one."""
+    texts = [(i, chr(97 + i) * 131_072) for i in range(8)]
+    encoder = lambda: (lambda s: list(s.encode()), 256, 257)
+    packing.pack(docs(spark, texts).coalesce(1), encoder=encoder).write.parquet(str(tmp_path / "packed"))
+    (file,) = (tmp_path / "packed").glob("*.parquet")
+    hadoop = spark._jvm.org.apache.parquet.hadoop
+    reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(spark._jvm.org.apache.hadoop.fs.Path(str(file)), spark._jsc.hadoopConfiguration()))
+    rows, most = 0, 0
+    for block in reader.getFooter().getBlocks():
+        rows += block.getRowCount()
+        column = next(c for c in block.getColumns() if c.getPath().toDotString() == "position_ids")
+        pages = reader.readOffsetIndex(column)
+        ends = [pages.getFirstRowIndex(k) for k in range(1, pages.getPageCount())] + [block.getRowCount()]
+        most = max(most, *(b - pages.getFirstRowIndex(k) for k, b in enumerate(ends)), 0)
+    reader.close()
+    assert rows >= 8 and most * packing.MATRIX_ROWS * packing.SEQ_LEN * 4 <= 2 << 20
+
+
 def test_best_fit():
     rng = np.random.default_rng(2)
     for _ in range(30):
