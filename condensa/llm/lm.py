@@ -46,8 +46,10 @@ KEPT, HELD = 1 << 18, 100_000
 TOKENS_PER_ROW, ROUNDS = 400, (0.2, 0.8)
 BATCH, RATE = 16384, 0.3
 END = b""
-#: Tokens that are scored at a time; no result depends on it.
-SCORED_AT_ONCE = 4096
+#: Tokens that are scored at a time, so that their arrays stay in a core's cache; no result depends on it.
+SCORED_AT_ONCE = 1024
+#: Rows that one piece of a sum by groups has at most.
+PIECE = 16
 LOG10 = 1 / math.log(10)
 
 
@@ -201,15 +203,54 @@ def word_features(p1: np.ndarray, p2: np.ndarray, c: np.ndarray, rows: int) -> l
 
 
 def log_softmax(w: np.ndarray, features: list[np.ndarray], bias: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores less their row maximum, their exponentials, and the sums of those."""
-    z = w[features[0]]
+    """Scores, their exponentials, and the sums of those. Only rows whose sum leaves the safe range are shifted by their
+    maximum, which costs more than all else here; a row's result does not depend on the others."""
+    z = w.take(features[0], axis=0, mode="clip")  # features are in range; this mode writes without a copy
+    more = np.empty_like(z)
     for f in features[1:]:
-        z += w[f]
+        z += w.take(f, axis=0, out=more, mode="clip")
     if bias is not None:
         z += w[bias]
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return z, e, e.sum(axis=1)
+    with np.errstate(over="ignore"):
+        e = np.exp(z, out=more)
+        total = np.einsum("ij->i", e)
+    odd = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
+    if len(odd):
+        z[odd] -= z[odd].max(axis=1, keepdims=True)
+        e[odd] = np.exp(z[odd])
+        total[odd] = e[odd].sum(axis=1)
+    return z, e, total
+
+
+def stable_order(f: np.ndarray) -> np.ndarray:
+    """The stable order of row numbers, by 16 bits at a time, which NumPy sorts by radix."""
+    order = np.argsort(f.astype(np.uint16), kind="stable")
+    high = f >> 16
+    return order[np.argsort(high[order].astype(np.uint16), kind="stable")] if high.any() else order
+
+
+def group_sums(g: np.ndarray, order: np.ndarray, cuts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The sums of g[order] by group; groups begin at cuts and have so many rows. Groups are cut into pieces, whose first
+    rows are added at once, then their second rows and so on, and the pieces are summed the same way; reduceat would go
+    through the rows once for each column."""
+    pieces = (times + PIECE - 1) // PIECE
+    first = np.cumsum(pieces) - pieces
+    group = np.repeat(np.arange(len(cuts)), pieces)
+    before = PIECE * (np.arange(len(group)) - first[group])
+    length = np.minimum(times[group] - before, PIECE).astype(np.int8)
+    by = np.argsort(-length, kind="stable")
+    begin = (cuts[group] + before)[by]
+    longer = len(group) - np.cumsum(np.bincount(length, minlength=PIECE + 1))
+    out = g.take(order[begin], axis=0, mode="clip")
+    more = np.empty((longer[1], g.shape[1]), g.dtype)
+    for k in range(1, PIECE):
+        n = longer[k]
+        if not n:
+            break
+        out[:n] += g.take(order[begin[:n] + k], axis=0, out=more[:n], mode="clip")
+    place = np.empty_like(by)
+    place[by] = np.arange(len(by))
+    return out.take(place, axis=0, mode="clip") if len(group) == len(cuts) else group_sums(out, place, first, pieces)
 
 
 class Learner:
@@ -221,24 +262,28 @@ class Learner:
 
     def step(self, k: int, features: list[np.ndarray], bias: int | None, gold: np.ndarray) -> None:
         w, squares, met = self.tables[k]
-        _, g, total = log_softmax(w, features, bias)
-        g /= total[:, None]
+        g = np.empty((len(gold), w.shape[1]), w.dtype)
+        for at in range(0, len(gold), SCORED_AT_ONCE):
+            _, e, total = log_softmax(w, [f[at : at + SCORED_AT_ONCE] for f in features], bias)
+            np.divide(e, total[:, None], out=g[at : at + SCORED_AT_ONCE])
         g[np.arange(len(gold)), gold] -= 1
         for f in features:
-            order = np.argsort(f, kind="stable") if len(w) > 1 << 16 else np.argsort(f.astype(np.uint16), kind="stable")
+            order = stable_order(f)
             found = f[order]
             cuts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-            self.update(w, squares, met, found[cuts], np.add.reduceat(g[order], cuts, axis=0), np.diff(cuts, append=len(found)))
+            times = np.diff(cuts, append=len(found))
+            self.update(w, squares, met, found[cuts], group_sums(g, order, cuts, times), times)
         if bias is not None:
             self.update(w, squares, met, np.array([bias]), g.sum(axis=0)[None], np.array([len(gold)]))
 
     def update(self, w, squares, met, rows, slope, times) -> None:
-        seen = squares[rows]
-        seen += slope * slope
+        seen = squares.take(rows, axis=0, mode="clip")
+        more = slope * slope
+        seen += more
         squares[rows] = seen
         slope *= self.rate
         slope /= np.sqrt(seen, out=seen)
-        w[rows] -= slope
+        w[rows] = np.subtract(w.take(rows, axis=0, out=more, mode="clip"), slope, out=more)
         met[rows] += times
 
     def learn(self, docs: list[np.ndarray]) -> None:

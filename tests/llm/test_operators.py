@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -163,6 +164,67 @@ def test_lm_head_holds_a_thousand_words():
     assert math.isclose(first[0] - first[1], math.log10(1999.5 / 1001.5), rel_tol=1e-3)
 
 
+class PlainLearner(lm.Learner):
+    """The same steps, written plainly: sums by reduceat, every row shifted by its maximum."""
+
+    def step(self, k, features, bias, gold):
+        w, squares, met = self.tables[k]
+        z = sum(w[f] for f in features) + (0 if bias is None else w[bias])
+        g = np.exp(z - z.max(axis=1, keepdims=True))
+        g /= g.sum(axis=1)[:, None]
+        g[np.arange(len(gold)), gold] -= 1
+        for f in [*features, *([] if bias is None else [np.full(len(gold), bias)])]:
+            order = np.argsort(f, kind="stable")
+            rows, cuts, times = np.unique(f[order], return_index=True, return_counts=True)
+            slope = np.add.reduceat(g[order], cuts, axis=0)
+            squares[rows] += slope * slope
+            w[rows] -= self.rate * slope / np.sqrt(squares[rows])
+            met[rows] += times
+
+
+def test_lm_learner_equals_a_plain_one_and_costs_less():
+    v = type("V", (), {})()
+    v.counts, v.tail_mass = np.arange(2000, 0, -1.0), np.full(lm.TAILS, 3.5)
+    rng = np.random.default_rng(5)
+    docs_ = [np.minimum(rng.zipf(1.3, 4096), lm.BEFORE) - 1 for _ in range(24)]
+    got, cost = [], []
+    for kind in (lm.Learner, PlainLearner):
+        cost.append(math.inf)
+        for _ in range(3):
+            learner = kind(*lm.start_weights(v, 1 << 17), 0.3)
+            began = time.thread_time()
+            learner.learn(docs_)
+            cost[-1] = min(cost[-1], time.thread_time() - began)
+        got.append(learner.tables)
+    for (w, squares, met), (w2, squares2, met2) in zip(*got, strict=True):
+        assert np.allclose(w, w2, atol=1e-3) and np.allclose(squares, squares2, rtol=1e-3) and (met == met2).all()
+    assert cost[0] < 0.6 * cost[1]
+
+
+def test_lm_sums_by_group():
+    rng = np.random.default_rng(6)
+    for f in (np.zeros(1, int), np.full(5000, 9), rng.integers(0, 1 << 17, 3000), rng.integers(0, 7, 4000) << 15, np.minimum(rng.zipf(1.2, 9000), 1 << 18)):
+        order = lm.stable_order(f)
+        assert (order == np.argsort(f, kind="stable")).all()
+        rows, cuts, times = np.unique(f[order], return_index=True, return_counts=True)
+        g = rng.integers(-9, 9, (len(f), 4)).astype(np.float32)
+        want = np.zeros((len(rows), 4), np.float32)
+        np.add.at(want, np.searchsorted(rows, f), g)
+        assert (lm.group_sums(g, order, cuts, times) == want).all()
+
+
+def test_lm_softmax_of_large_weights():
+    """Rows whose exponentials leave the range of a float are right, too, and no row's result hangs on the others."""
+    rng = np.random.default_rng(7)
+    w = (rng.normal(size=(50, lm.CLASSES)) * np.repeat([1, 20, 100, 1000, 1], 10)[:, None] + np.repeat([0, 0, 0, 0, -500], 10)[:, None]).astype(np.float32)
+    rows = np.arange(50)
+    z, e, total = lm.log_softmax(w, [rows], None)
+    exact = w.astype(float) - np.logaddexp.reduce(w.astype(float), axis=1)[:, None]
+    assert np.allclose(z - np.log(total)[:, None], exact, rtol=1e-5, atol=1e-4) and np.allclose(e / total[:, None], np.exp(exact), atol=1e-4)
+    z2, _, total2 = lm.log_softmax(w, [rows[::-1][7:]], None)
+    assert (z2 == z[::-1][7:]).all() and (total2 == total[::-1][7:]).all()
+
+
 def slow_lines(texts):
     held = {}
     for i, t in texts:
