@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ CLASSES = TOPS + TAILS
 SYMBOLS = HEAD + TAILS + 1  # history symbols: head tokens, tail classes, and before-the-text
 BEFORE = SYMBOLS - 1
 LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 17
-#: Words of the dictionary that goes to the workers; partial counts and word caches a worker holds.
-KEPT, HELD = 1 << 18, 100_000
+#: Words of the dictionary that goes to the workers; bytes of words that a worker counts at a time.
+KEPT, HELD = 1 << 18, 16 << 20
 TOKENS_PER_ROW, ROUNDS = 400, (0.2, 0.8)
 BATCH, RATE = 16384, 0.3
 END = b""
@@ -53,29 +54,41 @@ PIECE = 16
 LOG10 = 1 / math.log(10)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of texts, one after the other, and how many each has. Arrow's kernels for ASCII go by bytes,
+    whatever these are."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string(), safe=False).fill_null("")))
+    parts = pc.ascii_split_whitespace(texts)
+    words, times = parts.flatten().cast(pa.binary()), pc.list_value_length(parts).to_numpy().astype(np.int64)
+    some = pc.binary_length(texts).to_numpy() > 0
+    if not some.all():  # no text gives one empty part
+        words, times = words.filter(pa.array(np.repeat(some, times))), times * some
+    return words, times
 
 
 # Counts
 
 
 def _partial_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
+    held, size, texts = [], 0, 0
 
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
-        found.clear()
-        return out
+    def counted():
+        found = pc.value_counts(pa.concat_arrays(held))
+        held.clear()
+        return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "c"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found.update(words_of(text))
-            if len(found) >= HELD:
-                yield flush()
-        found[END] += batch.num_rows
-    if found:
-        yield flush()
+        words, _ = words_of(batch.column(0))
+        held.append(words)
+        size += words.nbytes
+        texts += batch.num_rows
+        if size >= HELD:
+            yield counted()
+            size = 0
+    if held:
+        yield counted()
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], ["word", "c"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -118,38 +131,36 @@ class Vocabulary:
             self.tail_mass[self.tail_class.get(e, TAILS - 1)] += m
 
 
-class Tokens(dict):
-    """word -> rank in the dictionary, or -1 - tail class."""
-
-    def __init__(self, v: Vocabulary):
-        super().__init__(zip(v.words, range(len(v.words)), strict=True))
-        self.fixed, self.tail_class = len(self), v.tail_class
-
-    def __missing__(self, word: bytes) -> int:
-        found = -1 - self.tail_class.get(word[-2:], TAILS - 1)
-        if len(self) < self.fixed + HELD:
-            self[word] = found
-        return found
-
-
 class Lexicon:
-    """What workers need of a Vocabulary: plain arrays and dictionaries, no DataFrame."""
+    """What workers need of a Vocabulary: plain arrays, no DataFrame."""
 
     def __init__(self, v: Vocabulary):
-        self.words, self.tail_class = v.words, v.tail_class
+        self.words = pa.array(v.words, pa.binary())
         self.log_counts = np.log10(v.counts + 0.5)
         self.known = v.counts > 0
         self.log_tail = np.log10(v.tail_mass)
+        # tail classes by the last two bytes, or by the only one
+        self.tail_class = np.full((1 << 16) + 256, TAILS - 1)
+        for e, k in v.tail_class.items():
+            if e:
+                self.tail_class[int.from_bytes(e, "big") + (len(e) == 1) * (1 << 16)] = k
         tails = np.array([v.tail_class.get(w[-2:], TAILS - 1) for w in v.words], np.int64)
         symbol = np.arange(len(v.words))
         symbol[HEAD:] = HEAD + tails[HEAD:]
         self.symbol = np.concatenate([symbol, HEAD + np.arange(TAILS)[::-1]])  # negative ranks index from the end
 
-    def ranks(self, words: list[bytes], tokens: Tokens) -> np.ndarray:
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words))
-        out[-1] = 0
-        return out
+    def ranks(self, words: pa.Array) -> np.ndarray:
+        """Ranks in the dictionary, or -1 - tail class. Words aren't empty."""
+        found = pc.index_in(words, value_set=self.words)
+        ranks = found.fill_null(-1).to_numpy().astype(np.int64)
+        rest = words.filter(found.is_null())
+        if len(rest):
+            _, offsets, data = rest.buffers()
+            ends = np.frombuffer(offsets, np.int32)[rest.offset : rest.offset + len(rest) + 1].astype(np.int64)
+            data, length, last = np.frombuffer(data, np.uint8), np.diff(ends), ends[1:] - 1
+            before = np.where(length > 1, data[np.maximum(last - 1, 0)], 256).astype(np.int64)
+            ranks[ranks < 0] = -1 - self.tail_class[before * 256 + data[last]]
+        return ranks
 
 
 # Model
@@ -405,30 +416,35 @@ def _encode(lexicon: Lexicon):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, uid = Tokens(lexicon), TaskContext.get().partitionId() << 33
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ranks, rare = [], []
-            for text in batch.column(2).to_pylist():
-                words = words_of(text)
-                r = lexicon.ranks(words, tokens)
-                ranks.append(r)
-                rare.append(Counter([words[i] for i in np.flatnonzero(r < 0).tolist()]))
-            if not ranks:
+            n = batch.num_rows
+            if not n:
                 continue
-            flat = np.concatenate(ranks)
-            cuts = np.cumsum([0] + [len(r) for r in ranks[:-1]])
+            words, times = words_of(batch.column(2))
+            coded = words.dictionary_encode()
+            code, text = coded.indices.to_numpy(), np.repeat(np.arange(n), times)
+            ranks = lexicon.ranks(coded.dictionary)[code]
+            flat = np.zeros(len(words) + n, np.int64)  # the end token has rank 0
+            flat[np.arange(len(words)) + text] = ranks
+            cuts = np.cumsum(times + 1) - times - 1
+            off = np.flatnonzero(ranks < 0)
+            rare, repeats = np.unique(text[off] * len(coded.dictionary) + code[off], return_counts=True)
+            rare_text, rare_code = np.divmod(rare, max(1, len(coded.dictionary)))
+            lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare_text, minlength=n))]), pa.int32())
             known = flat >= 0
             base = np.where(known, lexicon.log_counts[np.maximum(flat, 0)], 0.0)
             symbols = lexicon.symbol[flat]
             inside = np.where(symbols >= HEAD, base - lexicon.log_tail[np.maximum(symbols - HEAD, 0)], 0.0)
             sums = lambda x: np.add.reduceat(x, cuts)
+            bounds = np.append(2 * cuts, 2 * len(flat)).astype(np.int32)
             columns = [
-                pa.array(np.arange(uid, uid + len(ranks))), batch.column(0), batch.column(1), pa.array([len(r) for r in ranks], pa.int64()),
+                pa.array(np.arange(uid, uid + n)), batch.column(0), batch.column(1), pa.array(times + 1),
                 pa.array(sums((known & lexicon.known[np.maximum(flat, 0)]).astype(np.int64))), pa.array(sums(base)), pa.array(sums(inside)),
-                pa.array([x.tobytes() for x in np.split(symbols.astype(np.uint16), cuts[1:])], pa.binary()),
-                pa.array([list(c.keys()) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int32())),
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(symbols.astype(np.uint16))]),
+                pa.ListArray.from_arrays(lists, coded.dictionary.take(pa.array(rare_code))), pa.ListArray.from_arrays(lists, pa.array(repeats, pa.int32())),
             ]
-            uid += len(ranks)
+            uid += n
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
 
     return run

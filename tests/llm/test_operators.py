@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,25 @@ def test_lm_head_holds_a_thousand_words():
     assert math.isclose(first[0] - first[1], math.log10(1999.5 / 1001.5), rel_tol=1e-3)
 
 
+def test_lm_words_of_any_bytes():
+    rng = random.Random(8)
+    texts = [None, b"", b" \t\r\n", b"\x0bA\x0c", "İ ß\u00a0Q\u3000".encode(), b"\x1c\x85\xff \x00 Z"] + [bytes(rng.choice((rng.randrange(256), 32, 10, 65)) for _ in range(rng.randrange(60))) for _ in range(300)]
+    found, times = lm.words_of(pa.array(texts, pa.binary()))
+    want = [(t or b"").lower().split() for t in texts]
+    assert found.to_pylist() == [w for x in want for w in x] and times.tolist() == [len(x) for x in want]
+    assert [len(x) for x in lm.words_of(pa.array([None, b""], pa.binary()))] == [0, 2]
+
+
+def test_lm_words_outside_the_dictionary(spark, monkeypatch):
+    """Base scores and known words are the same however few words the dictionary holds."""
+    df = docs(spark, some_texts(60, 3)).withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+    rows = {}
+    for kept in (lm.KEPT, 12):
+        monkeypatch.setattr(lm, "KEPT", kept)
+        rows[kept] = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.score_texts(df).collect())
+    assert rows[12] == rows[1 << 18] and len(rows[12]) == df.count()
+
+
 class PlainLearner(lm.Learner):
     """The same steps, written plainly: sums by reduceat, every row shifted by its maximum."""
 
