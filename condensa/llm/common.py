@@ -33,6 +33,13 @@ def small_pages(spark: SparkSession) -> None:
     spark.conf.set("parquet.page.size.row.check.min", "1")
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has all executors collect their garbage in full, after which a JVM returns the heap that former work filled; else it keeps
+    it, beside Python workers and what the next stage needs outside the heap. One task per core reaches each idle executor."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
